@@ -7,6 +7,7 @@ Python string of any; strings are only made of distinct words, where a caller as
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -162,3 +163,38 @@ def char_index(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def _fold_table() -> np.ndarray:
+    """For each pair of bytes of a Latin letter with a mark, its two plain letters (0: none), by lead byte and second byte."""
+    table = np.zeros((4, 64, 2), np.uint8)
+    # Letters that don't decompose.
+    whole = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i", "þ": "th", "ð": "d"}
+    for lead in range(4):
+        for second in range(64):
+            c = bytes([0xC2 + lead, 0x80 + second]).decode()
+            base = whole.get(c.lower()) or unicodedata.normalize("NFD", c.lower()).encode("ascii", "ignore").decode()
+            if c.isalpha() and base.isalpha():
+                table[lead, second, : len(base)] = list(base.encode())
+    return table
+
+
+_FOLD = _fold_table()
+
+
+def without_accents(column: pa.Array) -> pa.Array:
+    """The texts with Latin letters made plain (ß as ss), combining marks dropped; nulls become empty."""
+    data, offsets = text_bytes(column)
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC5))
+    lead = lead[lead + 1 < len(data)]
+    plain = _FOLD[data[lead] - 0xC2, data[lead + 1] & 63]
+    some = plain[:, 0] > 0
+    out, keep = data.copy(), np.ones(len(data), bool)
+    out[lead[some]] = plain[some, 0]
+    out[lead[some] + 1] = plain[some, 1]
+    keep[lead[some & (plain[:, 1] == 0)] + 1] = False
+    marks = np.flatnonzero((data == 0xCC) | (data == 0xCD))
+    marks = marks[marks + 1 < len(data)]
+    keep[marks] = keep[marks + 1] = False
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(kept[offsets].astype(np.int64)), pa.py_buffer(out[keep]))
