@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.leakage import leaked
 from quern.llm.truncation import source_rates, truncated
 from quern.tables import table
 
@@ -19,5 +20,16 @@ def p1_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return source_rates(table(spark, d, "reviews"), "reviewId", "reviewText", "publicationName")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items whose passages they hold, whole or in part."""
+    return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: its task and the number of documents that hold it."""
+    items = table(spark, d, "eval_items").select("item_id", "task")
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("doc_id").alias("n_docs")).join(items, "item_id").select("item_id", "task", "n_docs")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p7_found, p7_items)}
 ORACLE: dict[str, str] = {}
