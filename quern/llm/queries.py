@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.language import mislabelled, segments
 from quern.llm.leakage import leaked
 from quern.llm.truncation import source_rates, truncated
 from quern.tables import table
@@ -31,5 +32,16 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("doc_id").alias("n_docs")).join(items, "item_id").select("item_id", "task", "n_docs")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p7_found, p7_items)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of documents whose label is missing or wrong, or that mix languages."""
+    return mislabelled(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every document, with its language and a confidence."""
+    found = segments(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return found.select("doc_id", "seg_no", "lang", F.round("confidence", 6).alias("confidence"), "n_words")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p7_found, p7_items, p8_found, p8_segments)}
 ORACLE: dict[str, str] = {}
