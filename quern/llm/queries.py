@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.language import mislabelled, segments
 from quern.llm.leakage import leaked
+from quern.llm.pii import masked, personal_items
 from quern.llm.truncation import source_rates, truncated
 from quern.tables import table
 
@@ -21,6 +22,23 @@ def p1_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return source_rates(table(spark, d, "reviews"), "reviewId", "reviewText", "publicationName")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal items in complaints and symptom reports."""
+    complaints = personal_items(table(spark, d, "complaints"), "complaint_id", "summary").withColumn("src", F.lit("complaints"))
+    symptoms = personal_items(table(spark, d, "symptoms_texts"), "symptom_id", "symptoms").withColumn("src", F.lit("symptoms_texts"))
+    return complaints.unionByName(symptoms).select("src", "rec_id", "pii_kind", "starts_at").distinct()
+
+
+def p5_masked_complaints(spark: SparkSession, d: str) -> DataFrame:
+    """Complaints with typed placeholders in place of personal items."""
+    return masked(table(spark, d, "complaints").select("complaint_id", "summary"), "summary").drop("summary").distinct()
+
+
+def p5_masked_symptoms(spark: SparkSession, d: str) -> DataFrame:
+    """Symptom reports with typed placeholders in place of personal items."""
+    return masked(table(spark, d, "symptoms_texts").select("symptom_id", "symptoms"), "symptoms").drop("symptoms").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items whose passages they hold, whole or in part."""
     return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
@@ -43,5 +61,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "seg_no", "lang", F.round("confidence", 6).alias("confidence"), "n_words")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p7_found, p7_items, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p5_found, p5_masked_complaints, p5_masked_symptoms, p7_found, p7_items, p8_found, p8_segments)}
 ORACLE: dict[str, str] = {}
