@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.language import mislabelled, segments
 from quern.llm.leakage import leaked
+from quern.llm.packing import pack, summary
 from quern.llm.pii import masked, personal_items
 from quern.llm.truncation import source_rates, truncated
 from quern.tables import table
@@ -39,6 +40,16 @@ def p5_masked_symptoms(spark: SparkSession, d: str) -> DataFrame:
     return masked(table(spark, d, "symptoms_texts").select("symptom_id", "symptoms"), "symptoms").drop("symptoms").distinct()
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document and its container of 2,048 tokens."""
+    return pack(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, against the fewest possible."""
+    return summary(p6_containers(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items whose passages they hold, whole or in part."""
     return leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
@@ -61,5 +72,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "seg_no", "lang", F.round("confidence", 6).alias("confidence"), "n_words")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p5_found, p5_masked_complaints, p5_masked_symptoms, p7_found, p7_items, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p5_found, p5_masked_complaints, p5_masked_symptoms, p6_containers, p6_summary, p7_found, p7_items, p8_found, p8_segments)}
 ORACLE: dict[str, str] = {}
