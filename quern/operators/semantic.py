@@ -7,6 +7,7 @@ expressions the whole plan stays inside the JVM and Catalyst pushes plain filter
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,13 +232,10 @@ def answer_templates(df: DataFrame, template: str, model: Model, name: str) -> D
     """
     prompt = Prompt(template.replace("<", "{").replace(">", "}"))
     columns = [c for c, _ in prompt.slots]
-    asked = df.select(*columns).distinct()
-    answered = model.answer(asked, prompt, name)
-    same = [df[c].eqNullSafe(answered[c]) for c in columns]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    return df.join(answered, condition, "left").select(*[df[c] for c in df.columns], answered[name])
+    keys = {c: f"_asked{k}" for k, c in enumerate(columns)}
+    answered = model.answer(df.select(*columns).distinct(), prompt, name).select(*columns, name).withColumnsRenamed(keys)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return df.join(answered, same, "left").drop(*keys.values())
 
 
 def new_only(known: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

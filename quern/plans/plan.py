@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.prompts import Prompt
 from quern.models.base import Model
 from quern.operators import semantic
 from quern.staging import stage
@@ -117,10 +116,8 @@ def delay_past_joins(node: Node) -> Node:
     node.inputs = [delay_past_joins(x) for x in node.inputs]
     if isinstance(node, Join) and node.selective and node.how == "inner" and isinstance(node.inputs[0], SemFilter):
         f = node.inputs[0]
-        columns = {c for c, _ in Prompt(f.prompt).slots}
         node.inputs[0] = f.inputs[0]
         f.inputs = [delay_past_joins(node)]
-        assert columns is not None
         return f
     return node
 
