@@ -42,18 +42,22 @@ class ExpressionModel(Model):
     """Answers are expressions over the row, by prompt.
 
     With expressions over hidden label columns it gives the gold answers; with patterns,
-    keywords or thresholds over visible columns it is a rule model. Callables take the
-    prompt's column names in order and give a Column.
+    keywords or thresholds over visible columns it is a rule model. An answer is a Column,
+    a SQL expression, or a function of the prompt's columns in order; functions and SQL
+    can be written down before there is a session.
     """
 
-    answers: Mapping[str, Column | Callable[..., Column]] = field(default_factory=dict)
+    answers: Mapping[str, Column | str | Callable[..., Column]] = field(default_factory=dict)
     spec: ModelSpec = ModelSpec("expressions")
 
-    def expression(self, prompt: Prompt) -> Column:
+    def expression(self, prompt: Prompt, written: Prompt | None = None) -> Column:
+        """The answer to a prompt; ``written`` is its text before a join renamed its columns."""
         for text, value in self.answers.items():
-            if Prompt(text).key == prompt.key:
-                return value if isinstance(value, Column) else value(*[F.col(c) for c, _ in prompt.slots])
-        raise KeyError(f"{self.spec.name} has no answer to: {prompt.text}")
+            if Prompt(text).key == (written or prompt).key:
+                if isinstance(value, str):
+                    return F.expr(value)
+                return value(*[F.col(c) for c, _ in prompt.slots]) if callable(value) and not isinstance(value, Column) else value
+        raise KeyError(f"{self.spec.name} has no answer to: {(written or prompt).text}")
 
     def answer(self, df: DataFrame, prompt: Prompt, name: str, dtype: str = "string") -> DataFrame:
         return df.withColumn(name, self.expression(prompt).cast(dtype))

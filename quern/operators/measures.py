@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quern.functions.scores import parse_score, stated_scale
 from quern.functions.units import DIMENSIONS, canonical, quantities, unit_of
+from quern.tables import fresh
 
 #: A source's habit decides a bare number only if it covers this share of its other scores.
 HABIT_SHARE = Fraction(3, 5)
@@ -53,7 +54,8 @@ def source_scales(df: DataFrame, score: str, source: str) -> DataFrame:
     that holds ``HABIT_SHARE`` of them has no row; so has the null source.
     """
     told = (
-        df.filter(F.col(source).isNotNull() & F.col(score).isNotNull() & ~_bare(F.col(score)))
+        df.select(source, score)
+        .filter(F.col(source).isNotNull() & F.col(score).isNotNull() & ~_bare(F.col(score)))
         .groupBy(source, score)  # value-frequency compression: each notation is parsed once a source
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_s", _parse(F.col(score), F.lit(None).cast("string")))
@@ -73,23 +75,26 @@ def score_milli(df: DataFrame, score: str, text: str, source: str, grades: DataF
     The scale is the one in the field, else the one stated in the row's text, else the
     habit of its source. ``grades`` (grade, pct) says what letter grades are worth. The
     result is null for nulls, entries without a value, values above their scale and
-    scales that can't be told. All rows and columns of ``df`` stay.
+    scales that can't be told. All rows and columns of ``df`` stay, but for a column of
+    that name, which is replaced; of a grade listed twice any worth is taken.
     """
-    parsed = df.withColumn("_s", _parse(F.col(score), F.when(_bare(F.col(score)), F.col(text))))
-    habits = source_scales(df, score, source).select(F.col(source).alias("_source"), "habit")
-    worth = grades.select(F.col("grade").alias("_grade"), F.col("pct").alias("_pct"))
+    kept = [c for c in df.columns if c != "score_milli"]
+    s, key, habit, grade, pct = fresh(df.columns, "_s", "_source", "_habit", "_grade", "_pct")
+    parsed = df.withColumn(s, _parse(F.col(score), F.when(_bare(F.col(score)), F.col(text))))
+    habits = source_scales(df, score, source).select(F.col(source).alias(key), F.col("habit").alias(habit))
+    worth = grades.select(F.col("grade").alias(grade), F.col("pct").alias(pct)).dropDuplicates([grade])
     # only rows that need the habit carry its key; the others mustn't meet in one task
-    open_key = F.when(F.col("_s.kind") == "bare", F.col(source))
-    needy = parsed.filter(open_key.isNotNull()).join(habits, F.col(source) == F.col("_source"), "left")
-    rest = parsed.filter(open_key.isNull()).withColumns({"_source": F.lit(None).cast("string"), "habit": F.lit(None).cast("double")})
-    both = needy.unionByName(rest).join(worth, F.col("_s.grade") == F.col("_grade"), "left")
-    by_habit = F.when(F.col("_s.value") <= F.col("habit"), F.floor(1000 * F.col("_s.value") / F.col("habit") + F.lit(0.5 + 1e-9)))
+    needs = (F.col(f"{s}.kind") == "bare") & F.col(source).isNotNull()
+    needy = parsed.filter(needs).join(habits, F.col(source) == F.col(key), "left")
+    rest = parsed.filter(~needs).withColumns({key: F.lit(None).cast("string"), habit: F.lit(None).cast("double")})
+    both = needy.unionByName(rest).join(worth, F.col(f"{s}.grade") == F.col(grade), "left")
+    by_habit = F.when(F.col(f"{s}.value") <= F.col(habit), F.floor(1000 * F.col(f"{s}.value") / F.col(habit) + F.lit(0.5 + 1e-9)))
     value = (
-        F.when(F.col("_s.kind") == "scaled", F.col("_s.milli"))
-        .when(F.col("_s.kind") == "grade", 10 * F.col("_pct").cast("long"))
-        .when(F.col("_s.kind") == "bare", by_habit)
+        F.when(F.col(f"{s}.kind") == "scaled", F.col(f"{s}.milli"))
+        .when(F.col(f"{s}.kind") == "grade", 10 * F.col(pct).cast("long"))
+        .when(F.col(f"{s}.kind") == "bare", by_habit)
     )
-    return both.withColumn("score_milli", value.cast("long")).drop("_s", "_source", "habit", "_grade", "_pct")
+    return both.select(*kept, value.cast("long").alias("score_milli"))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("starts_at", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("dims", T.ArrayType(T.IntegerType()))])))
@@ -101,9 +106,11 @@ def text_quantities(df: DataFrame, text: str) -> DataFrame:
     """One row per number with a unit in ``text``: starts_at, value, dims beside ``df``'s columns.
 
     ``value`` is in the coherent SI unit of the exponent vector ``dims`` over
-    ``DIMENSIONS``. Null and empty texts give no rows.
+    ``DIMENSIONS``. Null and empty texts give no rows; columns of those names are replaced.
     """
-    return df.withColumn("_q", F.explode(_found(F.col(text)))).select(*df.columns, "_q.starts_at", "_q.value", "_q.dims")
+    (q,) = fresh(df.columns, "_q")
+    kept = [c for c in df.columns if c not in ("starts_at", "value", "dims")]
+    return df.withColumn(q, F.explode(_found(F.col(text)))).select(*kept, f"{q}.starts_at", f"{q}.value", f"{q}.dims")
 
 
 def to_canonical(df: DataFrame, value: str, unit: str, name: str = "canonical") -> DataFrame:
@@ -123,8 +130,10 @@ def to_canonical(df: DataFrame, value: str, unit: str, name: str = "canonical")
             }
         )
 
-    both = df.withColumn("_c", convert(F.col(value).cast("string").cast("double"), F.col(unit)))
-    return both.select(*df.columns, F.col("_c.v").alias(name), F.col("_c.d").alias(f"{name}_dims"))
+    (c,) = fresh(df.columns, "_c")
+    both = df.withColumn(c, convert(F.col(value).cast("double"), F.col(unit)))
+    kept = [x for x in df.columns if x not in (name, f"{name}_dims")]
+    return both.select(*kept, F.col(f"{c}.v").alias(name), F.col(f"{c}.d").alias(f"{name}_dims"))
 
 
 __all__ = ["DIMENSIONS", "HABIT_SHARE", "score_milli", "source_scales", "text_quantities", "to_canonical"]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.staging import stage
+from quern.tables import fresh
 
 #: Candidate delimiters; a dash counts only with blanks around it.
 DELIMITERS = ";,|/+&\t\n"
@@ -199,6 +200,7 @@ def split_packed(df: DataFrame, column: str) -> DataFrame:
 
     Empty values are passed over and have no position; repeated ones keep theirs. Null
     and blank fields give no rows. The same field is split the same way in every row.
+    ``n_values`` is the number of values of the field; columns of these names are replaced.
     """
     fields = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_field")).agg(F.count(F.lit(1)).alias("_n"))
     schema = "_field string, _n long, _atoms array<string>, _marks array<string>, _gaps array<string>, _keys array<string>, _remarks array<string>"
@@ -216,8 +218,8 @@ def split_packed(df: DataFrame, column: str) -> DataFrame:
     def values(atoms: pd.Series, gaps: pd.Series, odds: pd.Series) -> pd.Series:
         return pd.Series([split_by(list(a), list(g), [] if o is None else list(np.asarray(o, dtype=float))) for a, g, o in zip(atoms, gaps, odds)])
 
-    split = read.join(bound, "_field", "left").select(
-        F.col("_field").alias(column), values("_atoms", "_gaps", F.col("_odds.odds")).alias("_values")
-    )
-    out = df.join(split, column).select(*[df[c] for c in df.columns], F.size("_values").alias("n_values"), F.posexplode("_values").alias("_at", "value"))
-    return out.select(*df.columns, "n_values", (F.col("_at") + 1).cast("long").alias("pos"), "value")
+    field, packed, at = fresh(df.columns, "_packed_field", "_packed_values", "_packed_at")
+    split = read.join(bound, "_field", "left").select(F.col("_field").alias(field), values("_atoms", "_gaps", F.col("_odds.odds")).alias(packed))
+    kept = [c for c in df.columns if c not in ("n_values", "pos", "value")]
+    out = df.join(split, F.col(column) == F.col(field)).select(*kept, F.size(packed).alias("n_values"), F.posexplode(packed).alias(at, "value"))
+    return out.select(*kept, "n_values", (F.col(at) + 1).cast("long").alias("pos"), "value")

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.prompts import Prompt
-from quern.models.base import Model, cosine
+from quern.models.base import ExpressionModel, Model, cosine
 from quern.staging import stage
+from quern.tables import fresh
 
 #: A join without keys needs a right side of at most so many rows; it is broadcast.
 UNKEYED_ROWS = 100_000
@@ -28,7 +29,8 @@ def sem_filter(df: DataFrame, prompt: str | Prompt, model: Model, default: bool
     """Rows for which the prompt is true; an answer that can't be read counts as ``default``."""
     p = _prompt(prompt)
     p.check(df.columns)
-    return model.answer(df, p, "_if", "boolean").filter(F.coalesce("_if", F.lit(default))).select(df.columns)
+    (name,) = fresh(df.columns, "_if")
+    return model.answer(df, p, name, "boolean").filter(F.coalesce(name, F.lit(default))).select(df.columns)
 
 
 def sem_if(df: DataFrame, prompt: str | Prompt, model: Model, name: str) -> DataFrame:
@@ -77,8 +79,9 @@ def sem_score(df: DataFrame, prompt: str | Prompt, model: Model, name: str, low:
     """``df`` with a score between ``low`` and ``high``; unreadable answers and those outside are ``default``."""
     p = _prompt(prompt)
     p.check(df.columns)
-    answered = model.answer(df, p, "_score", "double")
-    return answered.withColumn(name, F.when(F.col("_score").between(low, high), F.col("_score")).otherwise(F.lit(default))).drop("_score")
+    (raw,) = fresh(df.columns, "_score")
+    answered = model.answer(df, p, raw, "double")
+    return answered.withColumn(name, F.when(F.col(raw).between(low, high), F.col(raw)).otherwise(F.lit(default))).drop(raw)
 
 
 def sem_topk(df: DataFrame, score: str, k: int, tie: str, by: Sequence[str] = (), ascending: bool = False) -> DataFrame:
@@ -86,8 +89,9 @@ def sem_topk(df: DataFrame, score: str, k: int, tie: str, by: Sequence[str] = ()
     order = [F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last(), F.col(tie)]
     if not by:
         return df.orderBy(*order).limit(k)
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.filter(F.col("_rn") <= k).drop("_rn")
+    (rn,) = fresh(df.columns, "_rn")
+    ranked = df.withColumn(rn, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.filter(F.col(rn) <= k).drop(rn)
 
 
 def rank_spread(df: DataFrame, score: str, tie: str, name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -162,8 +166,8 @@ def sem_join(
     if unlike:
         pairs = pairs.filter(F.col(ln[unlike[0]]) != F.col(rn[unlike[1]]))
     sided = p.sided({(c, s): (ln if s == "left" else rn if s == "right" else ln | rn)[c] for c, s in p.slots})
-    if hasattr(model, "answers") and isinstance(model.answers, Mapping):  # expressions are known by the prompt as written
-        answered = pairs.withColumn("_if", _sided_expression(model, p, sided))
+    if isinstance(model, ExpressionModel):  # its answers are known by the prompt as written
+        answered = pairs.withColumn("_if", model.expression(sided, p))
     else:
         answered = model.answer(pairs, sided, "_if", "boolean")
     matched = answered.filter(F.coalesce("_if", F.lit(False))).select(pairs.columns)
@@ -175,13 +179,6 @@ def sem_join(
     return l.join(found, F.col(ln[row_id]) == F.col("_row"), "left").drop("_row")
 
 
-def _sided_expression(model: Model, written: Prompt, sided: Prompt) -> Column:
-    for text, value in model.answers.items():
-        if Prompt(text).key == written.key:
-            return value if isinstance(value, Column) else value(*[F.col(c) for c, _ in sided.slots])
-    raise KeyError(f"{model.spec.name} has no answer to: {written.text}")
-
-
 def join_cascade(pairs: DataFrame, similarity: Column, accept: float, reject: float, oracle: Column) -> DataFrame:
     """Pairs accepted by a cheap similarity, or by the oracle where that is undecided, with ``decided_by``.
 

@@ -35,7 +35,7 @@ def heavy_keys(df: DataFrame, key: str, value: str, share: Fraction = Fraction(1
     come out, whatever the size. The rows are compressed by ``value``, a column of any
     type that tells the rows of one key apart. An empty table gives no rows.
     """
-    packed = compress(df, key, [value])
+    packed = compress(df.select(F.col(key), F.col(value).alias("_value")), key, ["_value"])
     per_key = packed.groupBy(key).agg(F.sum(WEIGHT).alias("n_rows"))
     total = per_key.agg(F.sum("n_rows").alias("total_rows")).scalar()
     return (

@@ -34,16 +34,16 @@ def _has(label: str) -> Column:
 
 GOLD = ExpressionModel(
     {
-        CRASH: F.col("crash"),
-        FIRE: F.col("fire"),
-        UNDAMAGED: F.col("damage_status") == "no_damage",
-        DENTED: _has("dented"),
-        PUNCTURE_AND_SCRATCH: _has("puncture") & _has("paint_scratches"),
-        ENGINE: F.col("component_class") == "ENGINE",
-        ELECTRIC: F.col("component_class") == "ELECTRICAL SYSTEM",
-        BOTH: F.col("crash") & (F.col("damage_status") != "no_damage"),
-        COMPONENT: F.col("component_class"),
-        SAME_PART: F.col("component_class_left") == F.col("component_class_right"),
+        CRASH: lambda *_: F.col("crash"),
+        FIRE: lambda *_: F.col("fire"),
+        UNDAMAGED: lambda *_: F.col("damage_status") == "no_damage",
+        DENTED: lambda *_: _has("dented"),
+        PUNCTURE_AND_SCRATCH: lambda *_: _has("puncture") & _has("paint_scratches"),
+        ENGINE: lambda *_: F.col("component_class") == "ENGINE",
+        ELECTRIC: lambda *_: F.col("component_class") == "ELECTRICAL SYSTEM",
+        BOTH: lambda *_: F.col("crash") & (F.col("damage_status") != "no_damage"),
+        COMPONENT: lambda *_: F.col("component_class"),
+        SAME_PART: lambda *_: F.col("component_class_left") == F.col("component_class_right"),
     },
     ModelSpec("gold"),
 )

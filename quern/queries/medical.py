@@ -25,14 +25,14 @@ SKIN_AND_XRAY = "Both the skin picture and the x-ray show a disease"
 _sick = lambda c, *healthy: ~F.col(c).isin("none", *healthy)
 GOLD = ExpressionModel(
     {
-        ALLERGY: F.col("text_diagnosis") == "allergy",
-        ACNE: F.col("text_diagnosis") == "acne",
-        LUNGS_HEALTHY: F.col("audio_diagnosis") == "normal",
-        LUNGS_SICK: _sick("audio_diagnosis", "normal"),
-        XRAY_SICK: _sick("x_ray_diagnosis", "00_normal"),
-        MALIGNANT: F.col("skin_cancer_diagnosis") == "malignant",
-        DISEASE: F.lower("text_diagnosis"),
-        SKIN_AND_XRAY: (F.col("skin_cancer_diagnosis") == "malignant") & _sick("x_ray_diagnosis", "00_normal"),
+        ALLERGY: lambda *_: F.col("text_diagnosis") == "allergy",
+        ACNE: lambda *_: F.col("text_diagnosis") == "acne",
+        LUNGS_HEALTHY: lambda *_: F.col("audio_diagnosis") == "normal",
+        LUNGS_SICK: lambda *_: _sick("audio_diagnosis", "normal"),
+        XRAY_SICK: lambda *_: _sick("x_ray_diagnosis", "00_normal"),
+        MALIGNANT: lambda *_: F.col("skin_cancer_diagnosis") == "malignant",
+        DISEASE: lambda *_: F.lower("text_diagnosis"),
+        SKIN_AND_XRAY: lambda *_: (F.col("skin_cancer_diagnosis") == "malignant") & _sick("x_ray_diagnosis", "00_normal"),
     },
     ModelSpec("gold"),
 )

@@ -23,10 +23,10 @@ PRAISE = "The review calls something in the film charming, moving or thrilling:
 #: The gold model reads the hidden label.
 GOLD = ExpressionModel(
     {
-        POSITIVE: F.col("scoreSentiment") == "POSITIVE",
-        SAME: F.col("scoreSentiment_left") == F.col("scoreSentiment_right"),
-        OPPOSITE: F.col("scoreSentiment_left") != F.col("scoreSentiment_right"),
-        SENTIMENT: F.col("scoreSentiment"),
+        POSITIVE: lambda *_: F.col("scoreSentiment") == "POSITIVE",
+        SAME: lambda *_: F.col("scoreSentiment_left") == F.col("scoreSentiment_right"),
+        OPPOSITE: lambda *_: F.col("scoreSentiment_left") != F.col("scoreSentiment_right"),
+        SENTIMENT: lambda *_: F.col("scoreSentiment"),
     },
     ModelSpec("gold"),
 )
@@ -34,7 +34,7 @@ GOLD = ExpressionModel(
 RULES = ExpressionModel(
     {
         PRAISE: lambda text: text.rlike(r"\b(charming|moving|thrilling)\b"),
-        SCORE: F.when(F.col("originalScore").rlike(r"^[0-9.]+/5$"), F.split_part("originalScore", F.lit("/"), F.lit(1))),
+        SCORE: lambda *_: F.when(F.col("originalScore").rlike(r"^[0-9.]+/5$"), F.split_part("originalScore", F.lit("/"), F.lit(1))),
     },
     ModelSpec("rules"),
 )

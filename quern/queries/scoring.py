@@ -209,7 +209,7 @@ def sample_seeded(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), t AS (SELECT sum(n) AS total FROM c),
-    q AS (SELECT c_mktsegment, 300 * n / total AS x FROM c, t), f AS (SELECT c_mktsegment, floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, c_mktsegment) <= 300 - (SELECT sum(floor(x)) FROM q))::INT AS n FROM q)
+    q AS (SELECT c_mktsegment, least(300, total) * n / total AS x FROM c, t), f AS (SELECT c_mktsegment, floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, c_mktsegment) <= (SELECT sum(x) - sum(floor(x)) FROM q) + 0.001)::INT AS n FROM q)
     SELECT c_mktsegment, CAST(n AS BIGINT) AS n FROM f""")
 def scale_down_stratified(spark: SparkSession, d: str) -> DataFrame:
     """Three hundred customers that keep the shares of the segments."""

@@ -22,10 +22,10 @@ MATCH = "A customer of {c_name} is served by a supplier of {s_name} from the sam
 
 RULES = ExpressionModel(
     {
-        BRAND: F.col("p_brand"),
-        COLOUR: F.split_part("p_name", F.lit(" "), F.lit(1)),
-        SIZE: F.regexp_extract(F.col("p_size").cast("string"), r"(\d+)", 1),
-        LIGHT: (F.col("p_size") <= 10) & (F.col("p_retailprice") < 1200),
+        BRAND: lambda *_: F.col("p_brand"),
+        COLOUR: lambda *_: F.split_part("p_name", F.lit(" "), F.lit(1)),
+        SIZE: lambda *_: F.regexp_extract(F.col("p_size").cast("string"), r"(\d+)", 1),
+        LIGHT: lambda *_: (F.col("p_size") <= 10) & (F.col("p_retailprice") < 1200),
     },
     ModelSpec("rules"),
 )

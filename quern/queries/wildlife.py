@@ -23,10 +23,10 @@ HEARD = "The recording has the first animal: {s_name}"
 HEARD_OTHER = "The recording has the second animal: {s_name}"
 GOLD = ExpressionModel(
     {
-        SEEN: F.col("c_mktsegment").like("%BUILD%"),
-        SEEN_OTHER: F.col("c_mktsegment").like("%MACH%"),
-        HEARD: F.col("s_acctbal") > 6000,
-        HEARD_OTHER: F.col("s_acctbal") < 2000,
+        SEEN: lambda *_: F.col("c_mktsegment").like("%BUILD%"),
+        SEEN_OTHER: lambda *_: F.col("c_mktsegment").like("%MACH%"),
+        HEARD: lambda *_: F.col("s_acctbal") > 6000,
+        HEARD_OTHER: lambda *_: F.col("s_acctbal") < 2000,
     },
     ModelSpec("gold"),
 )

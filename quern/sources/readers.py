@@ -42,7 +42,7 @@ def read_sounds(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, text): one row per text file."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    df = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return df.select(F.substring_index(F.input_file_name(), "/", -1).alias("filename"), F.col("value").alias("text"))
 
 
