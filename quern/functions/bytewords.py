@@ -145,7 +145,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words, by its first word; the last n - 1 places run past the end."""
     out = np.zeros(len(hashes), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
+        for k in range(min(n, len(hashes))):
             out[: len(hashes) - k] = out[: len(hashes) - k] * _ODD + hashes[k:]
     return mix(out)
 
