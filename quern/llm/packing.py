@@ -109,11 +109,10 @@ def best_fit(sizes: Sizes, room: int) -> list[int]:
 def complete(sizes: Sizes, room: int, steps: int = STEPS) -> list[int]:
     """The sizes of an undominated filling of ``room`` that wastes least.
 
-    Depth first, sizes never growing: a filling is reached in one order only. A branch ends
-    when its waste can't fall below the incumbent's, which is so when no size fits that is
-    small enough; taking a smaller size where a larger fits with nothing behind it would be
-    dominated by the larger, so from each place only sizes down to what a later pair could
-    still fill are tried.
+    Depth first, sizes never growing, so a filling is reached in one order only. From each
+    place the largest size that fits is tried, and then only those that leave room for
+    another item: a smaller one with nothing behind it is dominated by the largest. The
+    search ends when nothing is wasted; the incumbent stands if the steps are used up.
     """
     best = best_fit(sizes, room)
     waste = room - sum(best)
@@ -132,9 +131,6 @@ def complete(sizes: Sizes, room: int, steps: int = STEPS) -> list[int]:
             if used.get(s, 0) < len(sizes.items[s]):
                 budget[0] -= 1
                 left = room - s
-                # one item alone fills no better than the largest that fits, unless more can follow
-                if not first and left < least and left >= waste:
-                    return
                 used[s] = used.get(s, 0) + 1
                 path.append(s)
                 if left < waste:
@@ -143,7 +139,9 @@ def complete(sizes: Sizes, room: int, steps: int = STEPS) -> list[int]:
                     search(left, s)
                 path.pop()
                 used[s] -= 1
-                first = False
+                if first:
+                    first = False
+                    s = min(s, room - least + 1)
             s = sizes.at_most(s - 1)
 
     search(room, room)
