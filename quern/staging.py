@@ -18,13 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 _FOLDERS: dict[str, tuple[SparkSession, str]] = {}
 
 
+def local_folder() -> str:
+    """A new folder on the driver's machine, for what Spark then sends to the executors itself."""
+    return tempfile.mkdtemp(prefix="quern-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This session's own folder under ``spark.checkpoint.dir``."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
+            base = "file://" + local_folder()
         folder = f"{base.rstrip('/')}/quern-{app}-{uuid.uuid4().hex[:8]}"
         _FOLDERS[app] = (spark, folder)
         atexit.register(cleanup, app)
