@@ -239,15 +239,19 @@ def _segments(w: Words, scores: Scores, ids: np.ndarray, schema: pa.Schema) -> p
     return pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in rows], schema=schema)
 
 
-def training_rows(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """The bounded sample for the fit: at most ``SAMPLE`` texts per named language, by a hash of the id."""
+def training_rows(df: DataFrame, doc_id: str, text: str, label: str) -> pd.DataFrame:
+    """The bounded sample for the fit: at most ``SAMPLE`` texts per named language, by a hash of the id.
+
+    One pass counts the languages, a second takes about twice the sample of each by the
+    hash; of those the first by hash are kept.
+    """
     named = df.select(F.col(text).alias("text"), code_of(F.col(label)).alias("lang"), F.xxhash64(doc_id).alias("h"))
-    named = named.filter(F.char_length("text").between(1, SAMPLE_CHARS))
-    parts = [named.filter(F.col("lang") == code).orderBy("h", "text").limit(SAMPLE) for code in LANGUAGES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    named = named.filter(F.col("lang").isNotNull() & F.char_length("text").between(1, SAMPLE_CHARS))
+    taken = F.lit(False)
+    for lang, n in named.groupBy("lang").count().collect():  # one row per language
+        taken = taken | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 2 * SAMPLE / n) * (1 << 30))))
+    rows = named.filter(taken).limit(8 * SAMPLE * len(LANGUAGES)).toPandas()
+    return rows.sort_values(["h", "text"]).groupby("lang").head(SAMPLE)
 
 
 def segments(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
@@ -257,7 +261,7 @@ def segments(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
     ``lang`` is null where no word speaks for a language, ``label_lang`` where the label
     names none. Null and empty texts and null ids give no rows. Ids are BIGINT.
     """
-    sample = training_rows(df, doc_id, text, label).toPandas()
+    sample = training_rows(df, doc_id, text, label)
     scores = fit(list(sample["text"]), list(sample["lang"]))
     model = df.sparkSession.sparkContext.broadcast(scores.table)
     known = df.filter(F.col(doc_id).isNotNull() & (F.char_length(F.trim(text)) > 0)).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), F.col(label).alias("l"))
