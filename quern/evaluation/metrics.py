@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The most rows that are matched one by one because nulls match anything.
+WILD_ROWS = 20_000
+
+
 def _ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(empty))
 
@@ -39,8 +43,9 @@ def retrieval(result: DataFrame, gold: DataFrame) -> DataFrame:
     """Rows matched one to one on the common columns.
 
     Repeated rows match as often as both sides have them; a null on either side matches
-    any value, which is decided row by row of the rest that has nulls. An empty gold gives
-    precision 1 if the result is empty too, else 0, and recall and F1 of 0.
+    any value, which is decided row by row on the driver for the rows left, ``WILD_ROWS``
+    of a side at most. An empty gold gives precision 1 if the result is empty too, else 0,
+    and recall and F1 of 0.
     """
     columns = [c for c in result.columns if c in gold.columns]
     number = lambda df: df.select(*columns, F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0))).alias("_rn"))
@@ -51,7 +56,10 @@ def retrieval(result: DataFrame, gold: DataFrame) -> DataFrame:
     g_rest = g.filter(full).join(r.filter(full), [*columns, "_rn"], "left_anti").unionByName(g.filter(~full))
     wild = 0
     if not (r.filter(~full).isEmpty() and g.filter(~full).isEmpty()):
-        wild = _greedy([tuple(x)[:-1] for x in r_rest.toLocalIterator()], [tuple(x)[:-1] for x in g_rest.toLocalIterator()])
+        sides = [[tuple(x)[:-1] for x in side.limit(WILD_ROWS + 1).collect()] for side in (r_rest, g_rest)]
+        if max(map(len, sides)) > WILD_ROWS:
+            raise ValueError(f"more than {WILD_ROWS} rows to match beside rows with nulls")
+        wild = _greedy(*sides)
     c = _counts(exact, result, gold).withColumn("tp", F.col("tp") + wild)
     p = F.when(F.col("gold") == 0, F.when(F.col("result") == 0, 1.0).otherwise(0.0)).otherwise(_ratio(F.col("tp"), F.col("result")))
     rec = F.when(F.col("gold") == 0, 0.0).otherwise(_ratio(F.col("tp"), F.col("gold")))

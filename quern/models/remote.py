@@ -81,3 +81,26 @@ class RemoteModel(Model):
         usage = F.struct("in_tokens", "out_tokens", F.lit(self.spec.name).alias("model"))
         both = asked.join(said, F.col("_prompt") == F.col("prompt"), "left")
         return both.select(*[df[c] for c in df.columns], value.alias(name), usage.alias(f"{name}_usage"))
+
+    def first_true(self, df: DataFrame, prompt: Prompt, n: int) -> DataFrame:
+        """Any ``n`` rows for which the prompt is true, asking little beyond them.
+
+        Each partition stops asking once it has ``n`` rows; a plain filter under a limit
+        would ask for whole partitions.
+        """
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = 0
+            with ThreadPoolExecutor(self.workers) as pool:
+                for pdf in batches:
+                    for k in range(0, len(pdf), max(self.workers, n)):
+                        part = pdf.iloc[k : k + max(self.workers, n)]
+                        said = pool.map(lambda p: self._ask(p)[0] if isinstance(p, str) else None, part["_prompt"])
+                        hits = part[[str(a).strip().lower() in ("true", "yes") for a in said]].drop(columns="_prompt")
+                        found += len(hits)
+                        yield hits
+                        if found >= n:
+                            return
+
+        asked = df.withColumn("_prompt", prompt.render())
+        return asked.mapInPandas(run, df.schema).limit(n)

@@ -33,6 +33,27 @@ def sem_filter(df: DataFrame, prompt: str | Prompt, model: Model, default: bool
     return model.answer(df, p, name, "boolean").filter(F.coalesce(name, F.lit(default))).select(df.columns)
 
 
+def sem_filter_any(df: DataFrame, prompt: str | Prompt, model: Model, n: int) -> DataFrame:
+    """Any ``n`` rows for which the prompt is true; remote models stop asking early."""
+    p = _prompt(prompt)
+    p.check(df.columns)
+    return model.first_true(df, p, n) if hasattr(model, "first_true") else sem_filter(df, p, model).limit(n)
+
+
+def within_budget(df: DataFrame, key: str, prompt: str | Prompt, model: Model, name: str, calls: int, seed: int = 42) -> DataFrame:
+    """``df`` with the answer for at most ``calls`` rows, chosen by a seeded hash of the key, and ``name_asked``.
+
+    Rows beyond the budget have a null answer; the mean of ``name_asked`` is the coverage.
+    """
+    p = _prompt(prompt)
+    p.check(df.columns)
+    asked = stage(df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(calls).select(key), "budget")
+    keyed = df.join(asked, key, "left_semi")
+    answered = model.answer(keyed, p, name, "boolean").select(*df.columns, name).withColumn(f"{name}_asked", F.lit(True))
+    rest = df.join(asked, key, "left_anti").select(*df.columns, F.lit(None).cast("boolean").alias(name), F.lit(False).alias(f"{name}_asked"))
+    return answered.unionByName(rest)
+
+
 def sem_if(df: DataFrame, prompt: str | Prompt, model: Model, name: str) -> DataFrame:
     """``df`` with the truth of the prompt as a nullable BOOLEAN column, evaluated once a row."""
     p = _prompt(prompt)

@@ -144,3 +144,21 @@ def test_template_questions_and_new_rows(spark, people):
     out = sem.answer_templates(people, "How good is <name>?", ExpressionModel({"How good is {name}?": lambda c: F.length(c)}), "n")
     assert out.count() == 4 and out.columns == ["id", "name", "score", "n"]
     assert sem.new_only(people.filter("id = 1"), people, "id").count() == 2
+
+
+def test_early_stop_and_budget(spark, people, tmp_path):
+    path = str(tmp_path / "asked")
+
+    def client(prompt):
+        with open(path, "a") as f:
+            f.write("x")
+        return ("true", 1, 1)
+
+    many = spark.range(5000).coalesce(1).withColumn("name", F.lit("n"))
+    model = RemoteModel(client, ModelSpec("fake"), workers=4)
+    assert sem.sem_filter_any(many, "{id} is a number", model, 3).count() == 3
+    with open(path) as f:
+        assert len(f.read()) <= 8
+    assert sem.sem_filter_any(people, LONG, MODEL, 1).count() == 1
+    some = sem.within_budget(many, "id", LONG, ExpressionModel({LONG: lambda c: F.length(c) > 0}), "ok", 100)
+    assert some.filter("ok_asked").count() == some.filter("ok").count() == 100 and some.count() == 5000
