@@ -196,19 +196,27 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return begins, aside
 
 
+_SEGMENT = pa.schema(
+    [("id", pa.int64()), ("seg_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_words", pa.int64()), ("label_lang", pa.string()), ("main_lang", pa.string()), ("n_segments", pa.int64())]
+)
+
+
 def _labeller(model):
-    schema = pa.schema([("id", pa.int64()), ("seg_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_words", pa.int64())])
+    """Segments of (id, text, label language), each with its text's main language and number of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.value)
         for batch in batches:
+            labels = batch.column(2).to_pylist()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for w in words_of(without_accents(batch.column(1))):
-                yield _segments(w, scores, batch.column(0).slice(w.first_row, w.rows).to_numpy(zero_copy_only=False), schema)
+                rows = slice(w.first_row, w.first_row + w.rows)
+                yield _segments(w, scores, ids[rows], labels[rows])
 
     return run
 
 
-def _segments(w: Words, scores: Scores, ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+def _segments(w: Words, scores: Scores, ids: np.ndarray, labels: list[str | None]) -> pa.RecordBatch:
     k = len(LANGUAGES)
     begins, aside = sentences(w)
     first = np.flatnonzero(begins)
@@ -220,23 +228,28 @@ def _segments(w: Words, scores: Scores, ids: np.ndarray, schema: pa.Schema) -> p
     lengths = np.diff(np.append(first, len(w.starts)))
     at = np.searchsorted(first, w.row_words)
     best = by_sentence.argmax(axis=1) if len(first) else np.zeros(0, np.int64)
-    rows: list[tuple] = []
+    out: list[tuple] = []
     for r in range(w.rows):
         lo, hi = at[r], at[r + 1]
         if lo == hi:
-            rows.append((int(ids[r]), 1, None, 0.0, 0))
+            out.append((int(ids[r]), 1, None, 0.0, 0, labels[r], None, 1))
             continue
         s = by_sentence[lo:hi]
         # where all sentences agree the path is constant
         langs = best[lo:hi] if (best[lo:hi] == best[lo]).all() else path(s)
         cuts = np.flatnonzero(np.diff(langs)) + 1
+        found, n_by = [], dict.fromkeys(LANGUAGES, 0)
         for no, (a, b) in enumerate(zip([0, *cuts], [*cuts, hi - lo]), 1):
             total = s[a:b].sum(axis=0)
             n = int(lengths[lo + a : lo + b].sum())
             odds = np.exp((total - total.max()) / max(1.0, np.sqrt(n)))
-            known = total.max() > 0
-            rows.append((int(ids[r]), no, LANGUAGES[langs[a]] if known else None, float(odds[langs[a]] / odds.sum()) if known else 0.0, n))
-    return pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in rows], schema=schema)
+            lang = LANGUAGES[langs[a]] if total.max() > 0 else None
+            if lang:
+                n_by[lang] += n
+            found.append((no, lang, float(odds[langs[a]] / odds.sum()) if lang else 0.0, n))
+        main = max(LANGUAGES, key=lambda x: n_by[x])
+        out += [(int(ids[r]), *f, labels[r], main if n_by[main] else None, len(found)) for f in found]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SEGMENT)], schema=_SEGMENT)
 
 
 def training_rows(df: DataFrame, doc_id: str, text: str, label: str) -> pd.DataFrame:
@@ -255,29 +268,24 @@ def training_rows(df: DataFrame, doc_id: str, text: str, label: str) -> pd.DataF
 
 
 def segments(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """One row per segment: (doc_id, seg_no, lang, confidence, n_words, label_lang).
+    """One row per segment: (doc_id, seg_no, lang, confidence, n_words, label_lang, main_lang, n_segments).
 
     A segment is the longest run of whole sentences in one language; seg_no counts from 1.
     ``lang`` is null where no word speaks for a language, ``label_lang`` where the label
-    names none. Null and empty texts and null ids give no rows. Ids are BIGINT.
+    names none; ``main_lang`` is the language of most words of the text. Null and empty
+    texts and null ids give no rows. Ids are BIGINT; a row delivered again comes out again.
+    Beside the sample for the fit this is one pass without a shuffle.
     """
     sample = training_rows(df, doc_id, text, label)
-    scores = fit(list(sample["text"]), list(sample["lang"]))
-    model = df.sparkSession.sparkContext.broadcast(scores.table)
-    known = df.filter(F.col(doc_id).isNotNull() & (F.char_length(F.trim(text)) > 0)).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), F.col(label).alias("l"))
-    known = spread(known)
-    found = known.select("id", "t").mapInArrow(_labeller(model), "id long, seg_no long, lang string, confidence double, n_words long")
-    labels = known.groupBy("id").agg(F.min(code_of(F.col("l"))).alias("label_lang"))
-    return found.join(labels, "id").withColumnRenamed("id", doc_id)
+    model = df.sparkSession.sparkContext.broadcast(fit(list(sample["text"]), list(sample["lang"])).table)
+    known = df.filter(F.col(doc_id).isNotNull() & (F.char_length(F.trim(text)) > 0))
+    known = known.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), code_of(F.col(label)).alias("l"))
+    schema = "id long, seg_no long, lang string, confidence double, n_words long, label_lang string, main_lang string, n_segments long"
+    return spread(known).mapInArrow(_labeller(model), schema).withColumnRenamed("id", doc_id)
 
 
 def mislabelled(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
     """The segments of every document whose label is missing or wrong, or that has several: (doc_id, seg_no, lang)."""
     found = segments(df, doc_id, text, label)
-    words = found.groupBy(doc_id, "lang").agg(F.sum("n_words").alias("n"))
-    most = words.groupBy(doc_id).agg(F.max(F.struct("n", "lang")).alias("m")).select(doc_id, F.col("m.lang").alias("main"))
-    both = found.join(most, doc_id)
-    counts = found.groupBy(doc_id).agg(F.max("seg_no").alias("n_segments"))
-    both = both.join(counts, doc_id)
-    wrong = F.col("label_lang").isNull() | (F.col("label_lang") != F.col("main")) | (F.col("n_segments") > 1)
-    return both.filter(wrong & F.col("lang").isNotNull()).select(doc_id, "seg_no", "lang").distinct()
+    wrong = F.col("label_lang").isNull() | (F.col("label_lang") != F.col("main_lang")) | (F.col("n_segments") > 1)
+    return found.filter(wrong & F.col("lang").isNotNull()).select(doc_id, "seg_no", "lang").distinct()
