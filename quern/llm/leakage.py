@@ -34,9 +34,9 @@ BROADCAST_WORDS = 1 << 23
 
 def plain_text(text: Column) -> Column:
     """Without markup, entities, invisible characters and hyphens at line ends."""
-    t = F.regexp_replace(text, r"</?[a-zA-Z][^<>]*>", " ")
-    t = F.regexp_replace(t, r"&[a-zA-Z]{2,8};|&#\d{1,6};", " ")
-    return F.regexp_replace(t, "[\\u00AD\\u200B\\u200C\\u200D\\u2060\\uFEFF]", "")
+    t = F.when(text.contains("<"), F.regexp_replace(text, r"</?[a-zA-Z][^<>]*>", " ")).otherwise(text)
+    t = F.when(t.contains("&"), F.regexp_replace(t, r"&[a-zA-Z]{2,8};|&#\d{1,6};", " ")).otherwise(t)
+    return F.translate(t, "\u00ad\u200b\u200c\u200d\u2060\ufeff", "")
 
 
 def _winnow(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -107,23 +107,33 @@ def _chain(a: np.ndarray, b: np.ndarray, i: int, j: int) -> list[tuple[int, int]
         i, j = i + da + length, j + db + length
 
 
-def longest_stretch(passage: np.ndarray, text: np.ndarray) -> int:
+class Grams:
+    """The grams of a word sequence, in order and sorted."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.all = grams(words, GRAM)[: max(0, len(words) - GRAM + 1)]
+        self.order = np.argsort(self.all, kind="stable")
+        self.sorted = self.all[self.order]
+
+
+def longest_stretch(passage: Grams, text: Grams) -> int:
     """Words of the longest stretch of the passage that the text holds in order with one edit in eight at most."""
-    own = grams(passage, GRAM)[: max(0, len(passage) - GRAM + 1)]
-    other = grams(text, GRAM)[: max(0, len(text) - GRAM + 1)]
-    order = np.argsort(other, kind="stable")
-    lo, hi = np.searchsorted(other[order], own, "left"), np.searchsorted(other[order], own, "right")
+    a, b = passage.words, text.words
+    lo, hi = np.searchsorted(text.sorted, passage.all, "left"), np.searchsorted(text.sorted, passage.all, "right")
+    if int((hi > lo).sum()) < LEAST_GRAMS:
+        return 0
     best, done = 0, set()
-    for i in np.flatnonzero(hi > lo):
-        for j in order[lo[i] : hi[i]]:
+    for i in np.flatnonzero(hi > lo).tolist():
+        for j in text.order[lo[i] : hi[i]].tolist():
             if (i, j) in done:
                 continue
-            if i and j and passage[i - 1] == text[j - 1]:
+            if i and j and a[i - 1] == b[j - 1]:
                 continue  # the run begins earlier
-            n = _run(passage, text, i, j)
+            n = _run(a, b, i, j)
             done.update((i + k, j + k) for k in range(n - GRAM + 1))
-            right = [(0, 0), *_chain(passage, text, i + n, j + n)]
-            left = [(0, 0), *_chain(passage[:i][::-1], text[:j][::-1], 0, 0)]
+            right = [(0, 0), *_chain(a, b, i + n, j + n)]
+            left = [(0, 0), *_chain(a[:i][::-1], b[:j][::-1], 0, 0)]
             for wl, cl in left:
                 for wr, cr in right:
                     span = wl + n + wr
@@ -132,17 +142,10 @@ def longest_stretch(passage: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-def _shared(items: dict[int, np.ndarray], ids: list[int], words: np.ndarray) -> list[int]:
+def _shared(items: dict[int, Grams], ids: list[int], words: np.ndarray) -> list[int]:
     """Of the item ids, those whose passage has a stretch in the text."""
-    text_grams = np.unique(grams(words, GRAM)[: max(0, len(words) - GRAM + 1)])
-    out = []
-    for k in ids:
-        p = items[k]
-        own = grams(p, GRAM)[: max(0, len(p) - GRAM + 1)]
-        at = np.minimum(np.searchsorted(text_grams, own), len(text_grams) - 1)
-        if int((text_grams[at] == own).sum()) >= LEAST_GRAMS and longest_stretch(p, words) >= LEAST_WORDS:
-            out.append(k)
-    return out
+    text = Grams(words)
+    return [k for k in ids if longest_stretch(items[k], text) >= LEAST_WORDS]
 
 
 def leaked(texts: DataFrame, text_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
@@ -169,7 +172,7 @@ def leaked(texts: DataFrame, text_id: str, text: str, items: DataFrame, item_id:
         table: dict[int, list[np.ndarray]] = {}
         for r in tests.select("id", "words").toArrow().to_pylist():
             table.setdefault(r["id"], []).append(np.array(r["words"], np.int64).view(np.uint64))
-        shared = texts.sparkSession.sparkContext.broadcast({k: v[0] for k, v in table.items()})
+        shared = texts.sparkSession.sparkContext.broadcast({k: Grams(v[0]) for k, v in table.items()})
 
         @F.pandas_udf("array<long>")
         def verify(ids: pd.Series, words: pd.Series) -> pd.Series:
@@ -181,7 +184,7 @@ def leaked(texts: DataFrame, text_id: str, text: str, items: DataFrame, item_id:
         @F.pandas_udf("boolean")
         def one(p: pd.Series, words: pd.Series) -> pd.Series:
             as_words = lambda x: np.asarray(x, np.int64).view(np.uint64)
-            return pd.Series([bool(_shared({0: as_words(a)}, [0], as_words(b))) for a, b in zip(p, words)])
+            return pd.Series([bool(_shared({0: Grams(as_words(a))}, [0], as_words(b))) for a, b in zip(p, words)])
 
         single = pairs.select("id", "words", F.explode("items").alias("item"))
         passages = tests.select(F.col("id").alias("item"), F.col("words").alias("passage"))

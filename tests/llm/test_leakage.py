@@ -60,7 +60,7 @@ def test_stretches_against_brute_force(seed):
     passage = text(30)
     part = passage[rng.randrange(8) :][: rng.randrange(10, 22)]
     doc = text(8) + noisy(part, rng.choice([8, 9, 12, 99])) + text(8)
-    want, got = brute(passage, doc), lk.longest_stretch(hashes(passage), hashes(doc))
+    want, got = brute(passage, doc), lk.longest_stretch(lk.Grams(hashes(passage)), lk.Grams(hashes(doc)))
     assert (got >= lk.LEAST_WORDS) == (want >= lk.LEAST_WORDS) and got <= want
 
 
