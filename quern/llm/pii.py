@@ -233,12 +233,31 @@ def viterbi(score: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
     return out
 
 
+def may_hold_items(t: Tokens, score: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Which texts' best path may differ from "O" throughout.
+
+    Against that path an item gains at most its first token's best B over O and the way in,
+    every I over O with its transition where that is positive, and the way out. A text where
+    no beginning makes up for this has none; the bound is exact, so nothing is lost.
+    """
+    b, i = np.arange(1, N, 2), np.arange(2, N, 2)
+    stay = transitions[0, 0]
+    way_in = max(0.0 - stay, transitions[:, b].max() - stay)  # a text may begin with an item
+    inside = max(transitions[b, i].max(), transitions[i, i].max()) - stay
+    way_out = max(0.0, transitions[1:, 0].max() - stay)
+    rows = len(t.row_tokens) - 1
+    begin = np.full(rows, -np.inf)
+    np.maximum.at(begin, t.row, score[:, b].max(axis=1) - score[:, 0] + way_in + way_out)
+    more = np.bincount(t.row, np.maximum(score[:, i].max(axis=1) - score[:, 0] + inside, 0), rows)
+    return begin + more >= 0
+
+
 def decode(t: Tokens, score: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Labels of all tokens; texts of like length are decoded together."""
     lengths = np.diff(t.row_tokens)
     labels = np.zeros(len(t.starts), np.int8)
     order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
+    order = order[(lengths[order] > 0) & may_hold_items(t, score, transitions)[order]]
     i = 0
     while i < len(order):
         j = i + 1

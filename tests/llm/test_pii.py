@@ -44,6 +44,21 @@ def test_expected_counts_are_those_of_all_paths():
     assert np.allclose(node[0], want) and pair.sum() == pytest.approx(2)
 
 
+def test_texts_that_are_passed_over_have_no_items(model, monkeypatch):
+    texts = pa.array([t for t, _ in labelled_table(seed=5, copies=2)])
+    quick = list(pii.find_in(texts, *model, pii.Features()))
+    passed = []
+
+    def all_texts(t, score, transitions):
+        passed.append(may_hold(t, score, transitions))
+        return np.ones(len(t.row_tokens) - 1, bool)
+
+    may_hold = pii.may_hold_items
+    monkeypatch.setattr(pii, "may_hold_items", all_texts)
+    assert list(pii.find_in(texts, *model, pii.Features())) == quick
+    assert not np.concatenate(passed).all()
+
+
 ROWS = [
     (1, "My name is Greta Holm. Call me on +1 524 555 0192 or write to greta.holm@example.org."),
     (2, "Nothing personal: the VIN ends in 5616386 and the claim number is 7710-4815."),
