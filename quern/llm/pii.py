@@ -114,8 +114,9 @@ N_SELF, N_NEAR = 7, 2
 def form_features(word: str, case: int) -> list[list[int]]:
     """Table rows of a form in each part it can play: itself, at each offset, and as the nearest words around."""
     low, shape = word.lower(), f"{case}{shape_of(word)}"
-    value = shape_of(word) if word.isdigit() else low
-    own = [f"w{value}", f"s{shape}", f"p{case}{low[:3]}" if not word.isdigit() else f"s{shape}+", f"e{case}{low[-3:]}", f"e2{case}{low[-2:]}", f"l{min(len(word), 12)}{shape[0]}", "bias"]
+    # digits count by their number only: forms are told apart by it, whichever comes first
+    value, head, tail, end = (shape_of(word), shape, shape, shape) if word.isdigit() else (low, low[:3], low[-3:], low[-2:])
+    own = [f"w{value}", f"s{shape}", f"p{case}{head}", f"e{case}{tail}", f"e2{case}{end}", f"l{min(len(word), 12)}{shape[0]}", "bias"]
     parts = [[_row(x) for x in own]]
     for o in OFFSETS:
         parts.append([_row(f"{o}w{value}"), _row(f"{o}s{shape}") if abs(o) < 3 else 0])

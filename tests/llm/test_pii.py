@@ -44,6 +44,14 @@ def test_expected_counts_are_those_of_all_paths():
     assert np.allclose(node[0], want) and pair.sum() == pytest.approx(2)
 
 
+def test_features_do_not_depend_on_what_was_seen_before(model):
+    texts = [t for t, _ in labelled_table(seed=6, copies=1)]
+    alone = [x for r, t in enumerate(texts[:150]) for x in pii.find_in(pa.array([t]), *model, pii.Features())]
+    together = [(0, *x[1:]) for x in pii.find_in(pa.array(texts), *model, pii.Features()) if x[0] < 150]
+    assert alone == together
+    assert pii.form_features("123", 0) == pii.form_features("987", 0) != pii.form_features("12", 0)
+
+
 def test_texts_that_are_passed_over_have_no_items(model, monkeypatch):
     texts = pa.array([t for t, _ in labelled_table(seed=5, copies=2)])
     quick = list(pii.find_in(texts, *model, pii.Features()))
