@@ -120,7 +120,7 @@ def form_features(word: str, case: int) -> list[list[int]]:
     parts = [[_row(x) for x in own]]
     for o in OFFSETS:
         parts.append([_row(f"{o}w{value}"), _row(f"{o}s{shape}") if abs(o) < 3 else 0])
-    return parts + [[_row(f"{part}{low}"), 0] for part in ("pa", "ppa", "na")]
+    return parts + [[_row(f"{part}{value}"), 0] for part in ("pa", "ppa", "na")]
 
 
 def piece_features(piece: str) -> int:
