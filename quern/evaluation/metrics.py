@@ -185,10 +185,13 @@ def macro_f1(result: DataFrame, gold: DataFrame, key: str, label: str) -> DataFr
     """Macro precision, recall and F1 over the labels, and accuracy, of rows joined by id."""
     both = gold.select(key, F.col(label).alias("g")).join(result.select(key, F.col(label).alias("r")), key)
     cells = both.groupBy("g", "r").agg(F.count(F.lit(1)).alias("n"))
-    labels = cells.select(F.col("g").alias("l")).union(cells.select("r")).filter(F.col("l").isNotNull()).distinct()
-    count = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name)
-    hit_g, hit_r = F.col("g") == F.col("l"), F.col("r") == F.col("l")
-    per = labels.join(cells, hit_g | hit_r, "left").groupBy("l").agg(count(hit_g & hit_r, "tp"), count(hit_r, "result"), count(hit_g, "gold"))
+    # each cell counts once for its gold label and once for its result's
+    none = F.lit(0).cast("long")
+    same = F.coalesce(F.col("g") == F.col("r"), F.lit(False))
+    as_gold = F.struct(F.col("g").alias("l"), F.when(same, F.col("n")).otherwise(none).alias("tp"), none.alias("result"), F.col("n").alias("gold"))
+    as_result = F.struct(F.col("r").alias("l"), none.alias("tp"), F.col("n").alias("result"), none.alias("gold"))
+    sides = cells.select(F.explode(F.array(as_gold, as_result)).alias("s")).select("s.*").filter(F.col("l").isNotNull())
+    per = sides.groupBy("l").agg(*[F.sum(c).alias(c) for c in ("tp", "result", "gold")])
     p, r = _ratio(F.col("tp"), F.col("result")), _ratio(F.col("tp"), F.col("gold"))
     accuracy = both.agg(F.coalesce(F.avg(F.coalesce(F.col("g") == F.col("r"), F.lit(False)).cast("double")), F.lit(0.0))).scalar()
     return per.select(p.alias("p"), r.alias("r"), _f1(p, r).alias("f")).agg(

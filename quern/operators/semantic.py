@@ -30,7 +30,9 @@ def sem_filter(df: DataFrame, prompt: str | Prompt, model: Model, default: bool
     p = _prompt(prompt)
     p.check(df.columns)
     (name,) = fresh(df.columns, "_if")
-    return model.answer(df, p, name, "boolean").filter(F.coalesce(name, F.lit(default))).select(df.columns)
+    # without a default the bare answer is the filter, which Spark can push into the scan
+    truth = F.coalesce(name, F.lit(True)) if default else F.col(name)
+    return model.answer(df, p, name, "boolean").filter(truth).select(df.columns)
 
 
 def sem_filter_any(df: DataFrame, prompt: str | Prompt, model: Model, n: int) -> DataFrame:
@@ -191,7 +193,7 @@ def sem_join(
         answered = pairs.withColumn("_if", model.expression(sided, p))
     else:
         answered = model.answer(pairs, sided, "_if", "boolean")
-    matched = answered.filter(F.coalesce("_if", F.lit(False))).select(pairs.columns)
+    matched = answered.filter("_if").select(pairs.columns)
     if how == "inner":
         return matched
     if how != "left" or row_id is None:
