@@ -1,8 +1,8 @@
 """Texts that lost their end.
 
 Two sources of evidence. A near-copy that goes on where a text stops: candidate pairs
-come from min-hash banding over word shingles, each text meets the longest of its bucket,
-and pairs whose similarity holds are aligned at the shorter text's end. For texts without
+come from min-hash banding over word shingles, each text meets every longer one of its
+buckets, and pairs whose similarity holds are aligned at the shorter text's end. For texts without
 such a copy, the closing words: how often, over all texts, the same last words stand at
 the end of a sentence, go on, or close a text.
 """
@@ -36,6 +36,10 @@ CLOSER_COUNT, CLOSER_SHARE = 2, 0.2
 HEADLINE_WORDS = 5
 #: Pairs up to this number are broadcast to fetch their texts (16 bytes each); more are joined by shuffle.
 BROADCAST_PAIRS = 1 << 20
+#: A bucket of more texts is met in blocks of about this many, each a task's key of its own.
+BLOCK = 4096
+#: Allows any difference: of a text whose words the profile may take apart otherwise than ``aligned_end``.
+ANY_ROOM = 1 << 24
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -127,7 +131,46 @@ def _bands(w: Words) -> np.ndarray:
     return out
 
 
-_PROFILE = "row_id string, text_key long, n_bytes int, n_words int, kind int, runs array<long>, bands array<long>"
+# Bytes of texts whose words are the same to the profile and to ``aligned_end``: ASCII and the two bytes of small Latin letters; dashes, quotes and dots are told apart.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[:128] = True
+
+
+def _rooms(w: Words) -> np.ndarray:
+    """Of each row a number that its distinct shingles don't exceed, or ``ANY_ROOM`` where words may be taken apart in two ways."""
+    odd = ~_PLAIN[w.data]
+    for lead, low, high, width in ((0xC3, 0x9F, 0xBF, 2), (0xE2, 0x90, 0xA6, 3)):
+        at = np.flatnonzero(w.data == lead)
+        at = at[at + width - 1 < len(w.data)]
+        last = w.data[at + width - 1]
+        at = at[(last >= low) & (last <= high) & ((last != 0xB7) if width == 2 else (w.data[at + 1] == 0x80))]
+        for k in range(width):
+            odd[at + k] = False
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    return np.where(np.diff(seen[w.row_bytes]) > 0, ANY_ROOM, np.maximum(np.diff(w.row_words) - SHINGLE + 1, 0)).astype(np.int32)
+
+
+def _sketches(w: Words) -> np.ndarray:
+    """rows x 2: 128 bits, each whether an odd number of the row's distinct shingles falls on it.
+
+    Two rows' sketches differ in at most as many bits as their sets of shingles in elements.
+    """
+    shingles, counts = gram_rows(w, SHINGLE)
+    out = np.zeros((w.rows, 2), np.uint64)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    row = np.repeat(np.arange(len(some), dtype=np.uint64), counts[some])  # rows of five words or more in a chunk: under 2^20
+    keys = np.sort((row << np.uint64(44)) | (shingles >> np.uint64(20)))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    row, bit, half = (keys >> np.uint64(44)).astype(np.int64), np.uint64(1) << (keys & np.uint64(63)), (keys >> np.uint64(6)) & np.uint64(1)
+    first = np.searchsorted(row, np.arange(len(some)))
+    for k in range(2):
+        out[some, k] = np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), first)
+    return out
+
+
+_PROFILE = "row_id string, text_key long, n_bytes int, n_words int, kind int, room int, s0 long, s1 long, runs array<long>, bands array<long>"
 
 
 def _lists(rows: np.ndarray, some: np.ndarray) -> pa.ListArray:
@@ -138,7 +181,7 @@ def _lists(rows: np.ndarray, some: np.ndarray) -> pa.ListArray:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each (id, key, text): what stands at its end, the closing runs if that is no stop, and its buckets."""
-    names = ["row_id", "text_key", "n_bytes", "n_words", "kind", "runs", "bands"]
+    names = ["row_id", "text_key", "n_bytes", "n_words", "kind", "room", "s0", "s1", "runs", "bands"]
     for batch in batches:
         for w in words_of(batch.column(2), digits_alike=True):
             n_words = np.diff(w.row_words)
@@ -155,7 +198,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for m, (run, _) in zip((0, 1), _runs(line, ends - 1)):
                 tails[open_rows, ORDERS + m] = run
             ids, keys = (batch.column(k).slice(w.first_row, w.rows) for k in (0, 1))
-            columns = [ids.cast(pa.string()), keys, pa.array(np.diff(w.row_bytes).astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(kinds)]
+            columns = [ids.cast(pa.string()), keys, pa.array(np.diff(w.row_bytes).astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(kinds), pa.array(_rooms(w))]
+            columns += [pa.array(np.ascontiguousarray(s).view(np.int64)) for s in _sketches(w).T]
             yield pa.RecordBatch.from_arrays([*columns, _lists(tails, kinds > 0), _lists(_bands(w), n_words >= SHINGLE)], names=names)
 
 
@@ -235,15 +279,16 @@ def aligned_end(short: str, long: str) -> bool | None:
 
 
 def _buckets(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row per text and bucket that the bitmap may hold, from (text_key, n_bytes, kind, bands)."""
+    """One row per text and bucket that the bitmap may hold, from columns of which the last is ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = b.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            buckets = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            bands, names = b.column(b.num_columns - 1), b.schema.names[:-1]
+            counts = bands.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            buckets = bands.flatten().to_numpy(zero_copy_only=False)
             ok = np.flatnonzero(member(bits.value, buckets)) if len(buckets) else np.zeros(0, np.int64)
             row = pa.array(np.repeat(np.arange(len(counts)), counts)[ok])
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in range(3)], pa.array(buckets[ok])], names=["text_key", "n_bytes", "kind", "bucket"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in range(len(names))], pa.array(buckets[ok])], names=[*names, "bucket"])
 
     return run
 
@@ -251,22 +296,30 @@ def _buckets(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 def _copies(profile: DataFrame, rows: DataFrame) -> DataFrame:
     """(text_key, goes_on) for texts without a stop whose end aligns with a longer near-copy.
 
-    Only buckets that hold such a text matter, so those of other texts are first sifted
-    by the bitmap of theirs. A bucket is reduced to its longest text by an aggregate of
-    constant state; no bucket is ever collected, and pairs grow with the texts only.
+    Only buckets that hold such a text and a longer one matter, so rows are sifted by the
+    bitmaps of these. There each open text meets every longer one; exact copies count once,
+    and a bucket of more than ``BLOCK`` rows is met in blocks, so no task has more than the
+    open texts of a bucket against one block. Texts of similarity s differ in at most
+    (1 - s) / (1 + s) of the shingles of both, so a pair whose sketches differ in more
+    bits is dropped before its texts are fetched: a bound that loses no pair.
     """
     columns = profile.select("text_key", "n_bytes", "kind", "bands")
     bits = bitmap(columns.filter(F.col("kind") > 0).select(F.explode("bands").alias("bucket")), "bucket")
     met = columns.mapInArrow(_buckets(bits), "text_key long, n_bytes int, kind int, bucket long")
-    rank = F.shiftleft(F.col("n_bytes").cast("long"), 32).bitwiseOR(F.col("text_key").bitwiseAND(F.lit(0xFFFFFFFF)))
-    longest = met.groupBy("bucket").agg(F.max_by("text_key", rank).alias("long_key"), F.max("n_bytes").alias("long_bytes"), F.min("n_bytes").alias("least"))
-    pairs = (
-        met.filter(F.col("kind") > 0)
-        .join(longest.filter(F.col("least") < F.col("long_bytes")), "bucket")
-        .filter(F.col("n_bytes") < F.col("long_bytes"))
-        .select("text_key", "long_key")
-        .distinct()
-    )
+    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("most"), F.min(F.when(F.col("kind") > 0, F.col("n_bytes"))).alias("least"))
+    sizes = stage(sizes.filter(F.col("least") < F.col("most")).select("bucket", "n"), "buckets")
+    hot = sizes.filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_PAIRS else hot
+    columns = profile.select("text_key", "n_bytes", "kind", "room", "s0", "s1", "bands")
+    met = columns.mapInArrow(_buckets(bitmap(sizes, "bucket")), "text_key long, n_bytes int, kind int, room int, s0 long, s1 long, bucket long")
+    met = met.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sides = ["n_bytes", "room", "s0", "s1"]
+    short = met.filter(F.col("kind") > 0).select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text_key", *sides)
+    long = met.select("bucket", F.pmod("text_key", "blocks").cast("int").alias("block"), F.col("text_key").alias("long_key"), *[F.col(c).alias(f"long_{c}") for c in sides])
+    short, long = (side.repartition("bucket", "block").distinct() for side in (short, long))
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"long_{c}"))) for c in ("s0", "s1"))
+    near = differ * (1 + SIMILARITY) <= (F.col("room") + F.col("long_room")) * (1 - SIMILARITY) + 1e-6
+    pairs = short.join(long, ["bucket", "block"]).filter((F.col("n_bytes") < F.col("long_n_bytes")) & near).select("text_key", "long_key").distinct()
     pairs = stage(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("text_key", "long_key")).alias("text_key")).distinct()
     few = pairs.count() <= BROADCAST_PAIRS

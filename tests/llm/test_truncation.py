@@ -51,6 +51,33 @@ def test_a_copy_that_goes_on_decides(spark):
     assert t.truncated(df, "id", "body").count() == 0
 
 
+@pytest.mark.parametrize("block", [t.BLOCK, 4])
+def test_every_longer_text_of_a_bucket_is_met(spark, monkeypatch, block):
+    """A near-copy decides also where the longest text of each shared bucket isn't one."""
+    monkeypatch.setattr(t, "BLOCK", block)
+    base = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    far = [f"{base} " + " ".join(f"other{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + i)}" for i in range(14)) + "." for k in range(60)]  # 36 of 50 shingles
+    rows = [("cut", base), ("again", base), ("full", base + " and so on.")] + [(f"far{k}", x) for k, x in enumerate(far)]
+    got = t.truncated(spark.createDataFrame(rows, "id string, body string"), "id", "body")
+    assert sorted(tuple(r) for r in got.collect()) == [("again", "copy"), ("cut", "copy")]
+
+
+def test_sketches_never_differ_by_more_than_the_shingles():
+    rng = np.random.default_rng(1)
+    words = [f"w{chr(97 + i)}" for i in range(12)]  # few words, so that shingles come twice
+    texts = [" ".join(rng.choice(words, rng.integers(0, 90))) for _ in range(60)]
+    texts += [" ".join(x.split()[: rng.integers(1, 90)]) for x in texts]
+    (w,) = words_of(pa.array(texts))
+    s, room = t._sketches(w), t._rooms(w)
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in texts]
+    for i, a in enumerate(sets):
+        assert len(a) <= room[i]
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(s[i] ^ s[j]).sum() <= len(a ^ b)
+    (w,) = words_of(pa.array(["plain – “words”, café…", "É", "a\u0301 b", "3 × 4", "plain"]))
+    assert (t._rooms(w) == t.ANY_ROOM).tolist() == [False, True, True, True, False]
+
+
 def test_alignment():
     long = "Alpha beta gamma delta epsilon zeta eta theta iota kappa. One two three four five six seven eight nine ten, and more follows here now."
     assert t.aligned_end(long[: long.index("re now")], long) is True
