@@ -9,6 +9,7 @@ from quern.catalog import grams, lookup, value_index
 from quern.models.base import ExpressionModel, ModelSpec, cosine
 from quern.operators import semantic as sem
 from quern.queries.registry import Book
+from quern.staging import stage
 from quern.tables import table
 
 query = Book()
@@ -116,6 +117,39 @@ def sem_join_cascade(spark: SparkSession, d: str) -> DataFrame:
     return matched.groupBy("decided_by").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The labelled sample of a cascade: so many vectors, by a seeded hash of their id, each with every class.
+SAMPLE_ROWS, SAMPLE_SEED = 1000, 42
+RECALL, PRECISION = 0.8, 0.8
+
+
+def cascade_to_targets(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, class, decided_by) of the pairs of vectors and class means that the cascade keeps.
+
+    The thresholds come from the labelled sample. As a sample's recall is off by chance, its
+    target is raised by the one-sided 95 % bound of that; with no true pair in the sample
+    the oracle is asked of all pairs. The class means, a closed set, go along as one array.
+    """
+    classes = sem._bounded(_prototypes(vectors).select(F.col("label").alias("class"), "proto"))
+    means = stage(classes.agg(F.collect_list(F.struct("class", "proto")).alias("means")), "means")
+    pair = lambda rows: rows.withColumn("_m", F.explode(means.scalar())).select("vec_id", "label", "embedding", "_m.class", "_m.proto")
+    similarity, truth = cosine(F.col("embedding"), F.col("proto")), F.col("label") == F.col("class")
+    some = vectors.orderBy(F.xxhash64("vec_id", F.lit(SAMPLE_SEED)), "vec_id").limit(SAMPLE_ROWS)
+    sample = stage(pair(some).select(similarity.alias("s"), F.coalesce(truth, F.lit(False)).alias("truth")), "sample")
+    n_true = sample.filter("truth AND s IS NOT NULL").count()
+    accept, reject = float("inf"), -1.0
+    if n_true:
+        target = min(1.0, RECALL + 1.645 * (RECALL * (1 - RECALL) / n_true) ** 0.5)
+        accept, reject = sem.cascade_thresholds(sample, "s", "truth", target, PRECISION)
+    return sem.join_cascade(pair(vectors), similarity, accept, reject, truth).select("vec_id", "label", "class", "decided_by")
+
+
+@query()
+def sem_join_cascade_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors matched with class means by a cascade whose thresholds meet a recall and a precision of 0.8."""
+    matched = cascade_to_targets(table(spark, d, "embeddings").select("vec_id", "label", "embedding"))
+    return matched.groupBy("decided_by").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT c.c_custkey, max_by(o.o_orderkey, (o.o_totalprice, -o.o_orderkey)) AS best FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey
     WHERE c.c_mktsegment = 'BUILDING' GROUP BY c.c_custkey""")
 def sem_best_match(spark: SparkSession, d: str) -> DataFrame:
