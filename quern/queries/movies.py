@@ -126,6 +126,23 @@ def sem_join_opposite_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(links, ["id", "class"]).select("id", "reviewId", "class", "n_links")
 
 
+@query("""
+    WITH r AS (SELECT DISTINCT id, reviewId, scoreSentiment FROM reviews WHERE id IS NOT NULL AND scoreSentiment IN ('POSITIVE', 'NEGATIVE')),
+    g AS (SELECT id, scoreSentiment, count(reviewId) AS n FROM r GROUP BY ALL)
+    SELECT r.id, r.reviewId, r.scoreSentiment AS class, CASE WHEN r.reviewId IS NULL THEN 0 ELSE g.n - 1 END AS n_links FROM r JOIN g USING (id, scoreSentiment)""")
+def sem_join_same_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every review of every movie with its class and how many other reviews of the movie share it.
+
+    Counted per class of a movie, like the links of opposite classes; a review without an
+    id is no other review than any, so it has no links.
+    """
+    judged = sem.sem_classify(_reviews(spark, d), SENTIMENT, ["POSITIVE", "NEGATIVE"], GOLD, "class")
+    rows = judged.filter(F.col("id").isNotNull() & F.col("class").isNotNull()).select("id", "reviewId", "class").distinct()
+    by_class = rows.groupBy("id", "class").agg(F.count("reviewId").alias("n"))
+    links = F.when(F.col("reviewId").isNull(), F.lit(0).cast("long")).otherwise(F.col("n") - 1)
+    return rows.join(by_class, ["id", "class"]).select("id", "reviewId", "class", links.alias("n_links"))
+
+
 @query(f"""SELECT s.scoreSentiment, count(r.scoreSentiment) AS "count" FROM (VALUES ('POSITIVE'), ('NEGATIVE'), ('MIXED')) s(scoreSentiment)
     LEFT JOIN (SELECT * FROM reviews WHERE id = {TOP}) r ON r.scoreSentiment = s.scoreSentiment GROUP BY s.scoreSentiment""")
 def value_counts_zero_fill(spark: SparkSession, d: str) -> DataFrame:
