@@ -6,19 +6,24 @@ expressions the whole plan stays inside the JVM and Catalyst pushes plain filter
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.prompts import Prompt
 from quern.models.base import ExpressionModel, Model, cosine
 from quern.staging import stage
-from quern.tables import fresh
+from quern.tables import fresh, spread
 
 #: A join without keys needs a right side of at most so many rows; it is broadcast.
 UNKEYED_ROWS = 100_000
+#: Queries of a search that are broadcast at a time, and scores that a task holds at once.
+SLAB_QUERIES, SLAB_SCORES = 4096, 1 << 20
 
 
 def _prompt(p: str | Prompt) -> Prompt:
@@ -245,6 +250,74 @@ def retrieve(df: DataFrame, key: str, vector: str, query: Sequence[float], n: in
     return top
 
 
+def _best_of(slab, n: int):
+    """The ``n`` nearest of a partition's (key, vector) per query of the slab; as many rows again are merged at a time."""
+
+    def top(ids: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -s, q))
+        ids, s, q = ids[order], s[order], q[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < n
+        return ids[kept], s[kept], q[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, matrix = slab.value
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        step = max(1, SLAB_SCORES // len(query_ids))
+        for batch in batches:
+            ids, v = _vectors(batch.column(0), batch.column(1), matrix.shape[1])
+            for i in range(0, len(ids), step):
+                s = np.round(v[i : i + step] @ matrix.T, 9).T
+                least = np.full(len(query_ids), -np.inf)
+                if len(best[0]):  # a query that has n rows takes none below its last
+                    counts = np.bincount(best[2], minlength=len(query_ids))
+                    full = np.flatnonzero(counts >= n)
+                    least[full] = best[1][np.cumsum(counts)[full] - 1]
+                q, at = np.nonzero(s >= least[:, None])
+                best = top(np.concatenate([best[0], ids[i + at]]), np.concatenate([best[1], s[q, at]]), np.concatenate([best[2], q]))
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[2]]), pa.array(best[0]), pa.array(best[1])], names=["query_id", "key", "similarity"])
+
+    return run
+
+
+def _vectors(ids: pa.Array, vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, rows of length 1) of the vectors of that width that have a direction."""
+    sized = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
+    ids, vectors = ids.filter(sized), vectors.filter(sized)
+    v = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+    norm = np.sqrt((v * v).sum(axis=1))
+    ok = norm > 0  # false for a null or NaN inside, too
+    return ids.to_numpy(zero_copy_only=False)[ok], v[ok] / norm[ok, None]
+
+
+def retrieve_many(df: DataFrame, key: str, vector: str, queries: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows nearest to each query vector: (query_id, key, similarity).
+
+    ``queries`` has the columns of ``key`` and ``vector``, both BIGINT and ARRAY<FLOAT> as
+    in ``df``. Slabs of about ``SLAB_QUERIES`` queries are broadcast one after the other,
+    scored in blocks against all rows, and each task sends its best ``n`` a query only, so
+    neither memory nor shuffle grows with rows times queries. Ties go to the least key;
+    null keys, and vectors without direction or of another length than the queries', have
+    no similarity and give no rows.
+    """
+    spark = df.sparkSession
+    asked = stage(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL"), "queries")
+    rows = df.select(F.col(key).cast("long"), vector).filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    shape = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    slabs, parts = -(-shape["n"] // SLAB_QUERIES), []
+    for k in range(slabs):
+        some = asked.filter(F.pmod(F.xxhash64("id"), F.lit(slabs)) == k).toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        ids, matrix = _vectors(some.column(0).combine_chunks(), some.column(1).combine_chunks(), shape["width"])
+        if len(ids):
+            parts.append(spread(rows).mapInArrow(_best_of(spark.sparkContext.broadcast((ids, matrix)), n), "query_id long, key long, similarity double"))
+    if not parts:
+        return spark.createDataFrame([], f"query_id long, {key} long, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "key")
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n)
+    return ranked.select("query_id", F.col("key").alias(key), "similarity")
+
+
 def answer_templates(df: DataFrame, template: str, model: Model, name: str) -> DataFrame:
     """Question answering with a question per row, made from ``<column>`` placeholders; equal rows ask once.
 

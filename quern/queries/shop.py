@@ -107,6 +107,29 @@ def sem_retrieve_rerank(spark: SparkSession, d: str) -> DataFrame:
     return sem.retrieve(vectors, "vec_id", "embedding", mean["proto"] if mean else [0.0] * 64, 100, confirm, 1.0).select("vec_id")
 
 
+_ALL = f"""SELECT q.vec_id AS query_id, q.label AS asked, v.vec_id, v.label, {_COS.format(a='q.embedding', b='v.embedding')} AS s
+    FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0"""
+_NEAR = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id)"
+
+
+@query(f"SELECT query_id, vec_id, round(s, 6) AS similarity FROM ({_ALL}) {_NEAR} <= 20")
+def embedding_topk_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty vectors nearest to each vector whose id is divisible by 100."""
+    vectors = table(spark, d, "embeddings")
+    top = sem.retrieve_many(vectors, "vec_id", "embedding", vectors.filter("vec_id % 100 = 0"), 20)
+    return top.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"SELECT query_id, vec_id FROM (SELECT * FROM ({_ALL}) {_NEAR} <= 100) WHERE label = asked")
+def sem_retrieve_rerank_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Of the hundred vectors nearest to each query those that a second model confirms: of the query's class."""
+    vectors = table(spark, d, "embeddings")
+    labels = vectors.select("vec_id", "label")
+    top = sem.retrieve_many(vectors, "vec_id", "embedding", vectors.filter("vec_id % 100 = 0"), 100).join(labels, "vec_id")
+    asked = labels.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked"))
+    return top.join(asked, "query_id").filter(F.col("label") == F.col("asked")).select("query_id", "vec_id")
+
+
 @query(f"""SELECT decided_by, count(*) AS n FROM (SELECT CASE WHEN s >= 0.6 THEN 'proxy' ELSE 'oracle' END AS decided_by FROM (SELECT v.label AS a, p.label AS b,
     {_COS.format(a='v.embedding', b='p.proto')} AS s FROM embeddings v, {_PROTO} p) WHERE s >= 0.6 OR (s >= 0.1 AND a = b)) GROUP BY decided_by""")
 def sem_join_cascade(spark: SparkSession, d: str) -> DataFrame:
