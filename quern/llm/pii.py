@@ -243,7 +243,7 @@ def may_hold_items(t: Tokens, score: np.ndarray, transitions: np.ndarray) -> np.
     """
     b, i = np.arange(1, N, 2), np.arange(2, N, 2)
     stay = transitions[0, 0]
-    way_in = max(0.0 - stay, transitions[:, b].max() - stay)  # a text may begin with an item
+    way_in = max(0.0, transitions[:, b].max() - stay)  # a text that begins with an item has no transition there, nor has the other path
     inside = max(transitions[b, i].max(), transitions[i, i].max()) - stay
     way_out = max(0.0, transitions[1:, 0].max() - stay)
     rows = len(t.row_tokens) - 1
