@@ -1,8 +1,10 @@
-"""A set of 64-bit hashes as a bitmap of fixed size, to drop rows before a shuffle.
+"""A set of 64-bit hashes as a bitmap, to drop rows before a shuffle.
 
 The bitmap has a false positive for some hashes outside the set and never a false
-negative, so a join must follow. Its size, ``BITS`` / 8 bytes, doesn't depend on the
-data, which bounds what is broadcast.
+negative, so a join must follow. It has about ``PER_HASH`` bits a hash, by an approximate
+count of the distinct ones, between ``LEAST`` and ``MOST`` bits: that bounds what is
+broadcast. A set beyond it fills the bitmap more and more, and less is dropped before the
+join; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -12,25 +14,40 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 2^25 bits: 4 MB; as words of 64 bits at most 2^19 rows come to the driver.
-BITS = 25
+PER_HASH = 8
+#: Logarithms of the fewest and most bits: 128 KB to 32 MB.
+LEAST, MOST = 20, 28
+
+
+def _log_bits(n: int) -> int:
+    return min(max(LEAST, (PER_HASH * max(1, n) - 1).bit_length()), MOST)
 
 
 def bitmap(df: DataFrame, column: str) -> Broadcast:
     """Broadcast bitmap of the BIGINT hashes in ``column``; nulls are left out."""
-    low = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
+    hashes = df.select(F.col(column).alias("h")).filter("h IS NOT NULL")
+    size = _log_bits(hashes.agg(F.approx_count_distinct("h", 0.1).alias("n")).first()["n"])
+    low = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
     words = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.shiftright(low, 6).cast("int").alias("word"))
+        hashes.groupBy(F.shiftright(low, 6).cast("int").alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
         .toArrow()
     )
-    bits = np.zeros(1 << (BITS - 6), np.int64)
+    bits = np.zeros(1 << (size - 6), np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     return df.sparkSession.sparkContext.broadcast(bits)
 
 
+def membership(hashes: np.ndarray) -> np.ndarray:
+    """The bitmap of an array of hashes."""
+    size = _log_bits(len(hashes))
+    low = hashes.view(np.int64) & np.int64((1 << size) - 1)
+    bits = np.zeros(1 << (size - 6), np.int64)
+    np.bitwise_or.at(bits, low >> 6, np.int64(1) << (low & 63))
+    return bits
+
+
 def member(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be in the set."""
-    low = hashes.view(np.int64) & np.int64((1 << BITS) - 1)
+    low = hashes.view(np.int64) & np.int64(64 * len(bits) - 1)
     return (bits[low >> 6] >> (low & 63)) & 1 == 1
