@@ -104,12 +104,61 @@ def test_leaked_items(tables):
     assert {tuple(r) for r in lk.leaked(d, "doc_id", "text", i, "item_id", "passage").collect()} == WANT
 
 
-def test_the_way_for_large_item_sets_gives_the_same(tables, monkeypatch):
+@pytest.mark.parametrize("words", [1, 100])
+def test_slabs_of_any_size_give_the_same(tables, monkeypatch, words):
     d, i = tables
-    monkeypatch.setattr(lk, "BROADCAST_WORDS", -1)
+    monkeypatch.setattr(lk, "SLAB_WORDS", words)
     assert {tuple(r) for r in lk.leaked(d, "doc_id", "text", i, "item_id", "passage").collect()} == WANT
 
 
+@pytest.mark.parametrize("words", [60, 1 << 20])
+def test_every_passage_of_an_item_is_looked_for(spark, monkeypatch, words):
+    monkeypatch.setattr(lk, "SLAB_WORDS", words)
+    rng.seed(8)
+    one, two = text(30), text(30)
+    i = spark.createDataFrame([(1, " ".join(one)), (1, " ".join(two)), (1, " ".join(two))], "item_id long, passage string")
+    d = spark.createDataFrame([(10, " ".join(text(9) + one + text(9))), (11, " ".join(text(9) + two)), (12, " ".join(text(40)))], "doc_id long, text string")
+    assert sorted(tuple(r) for r in lk.leaked(d, "doc_id", "text", i, "item_id", "passage").collect()) == [(10, 1), (11, 1)]
+
+
+@pytest.mark.parametrize("words", [200, 1 << 20])
+def test_a_phrase_in_every_item_and_text_is_no_leak(spark, monkeypatch, words):
+    monkeypatch.setattr(lk, "SLAB_WORDS", words)
+    rng.seed(9)
+    phrase = "choose the right answer from the list that follows here now".split()
+    passages = {k: text(12) + phrase + text(14) for k in range(8)}
+    docs = {k: text(10) + phrase + text(10) for k in range(8)} | {99: text(5) + passages[7][6:26] + text(5)}
+    i = spark.createDataFrame([(k, " ".join(v)) for k, v in passages.items()], "item_id long, passage string")
+    d = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    want = {(k, m) for k, v in docs.items() for m, p in passages.items() if brute(p, v) >= lk.LEAST_WORDS}
+    assert {tuple(r) for r in lk.leaked(d, "doc_id", "text", i, "item_id", "passage").collect()} == want
+    assert (99, 7) in want and len(want) < 20
+
+
+def test_several_edits_side_by_side(spark):
+    rng.seed(10)
+    passage = text(27)
+    kept = passage[:12] + ["x1", "x2", "x3"] + passage[15:]
+    worse = passage[:11] + ["x1", "x2", "x3", "x4"] + passage[15:]
+    i = spark.createDataFrame([(1, " ".join(passage))], "item_id long, passage string")
+    d = spark.createDataFrame([(1, " ".join(text(9) + kept + text(9))), (2, " ".join(text(9) + worse + text(9)))], "doc_id long, text string")
+    assert [tuple(r) for r in lk.leaked(d, "doc_id", "text", i, "item_id", "passage").collect()] == [(1, 1)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_the_alignment_against_brute_force(seed):
+    rng.seed(100 + seed)
+    passage = text(44)
+    part = passage[rng.randrange(6) :][: rng.randrange(15, 40)]
+    for _ in range(rng.randrange(1, 5)):
+        k = rng.randrange(len(part) - 4)
+        part[k : k + rng.randrange(0, 4)] = ["zz"] * rng.randrange(0, 3)
+    doc = text(8) + part + text(8)
+    want = brute(passage, doc) >= lk.LEAST_WORDS
+    assert lk.aligned_stretch(lk.Grams(hashes(passage)), lk.Grams(hashes(doc))) == want
+    assert lk.holds(lk.Grams(hashes(passage)), lk.Grams(hashes(doc))) == want
+
+
 def test_empty_tables(tables):
     d, i = tables
     assert lk.leaked(d.limit(0), "doc_id", "text", i, "item_id", "passage").count() == 0
