@@ -5,7 +5,7 @@ both corpora by the same rule, so any shared run of ``GRAM + WINDOW - 1`` = 5 wo
 a fingerprint in common. A stretch with one word in eight changed, missing or added always
 contains such a run: of n words with e edits some run has (n - e) / (e + 1) words or more,
 and e <= n / 8 makes that at least 14 / 3. The fingerprints are joined, and each pair of a
-text and a passage that meet is extended from its exact runs over edits.
+text and a passage that meet is extended by an alignment around the grams they share.
 
 The passages are a stated query set: they are taken in slabs of bounded size, each broadcast
 with the index of its fingerprints and met by all texts where these are read. So no print,
@@ -74,66 +74,12 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first_row, w.rows).filter(pa.array(keep)), words], names=["item", "words"])
 
 
-def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
-    """Words that agree from a[i] and b[j] on."""
-    n = min(len(a) - i, len(b) - j)
-    if n <= 0:
-        return 0
-    differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
-    return int(differ[0]) if len(differ) else n
-
-
-# (words of the passage, words of the text) that edits side by side pass over, and their cost: one or two.
-_EDITS = [(1, 1, 1), (1, 0, 1), (0, 1, 1), (2, 2, 2), (2, 1, 2), (1, 2, 2), (2, 0, 2), (0, 2, 2)]
-
-
-def _chain(a: np.ndarray, b: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
-    """Runs of agreement from (i, j) on over edits: (words of ``a`` before the run with its edits' words, cost, ...)."""
-    out, pos, cost = [], 0, 0
-    while True:
-        best = max(((_run(a, b, i + da, j + db) - c, da, db, c) for da, db, c in _EDITS), key=lambda x: x[0])
-        gain, da, db, c = best
-        length = gain + c
-        if length < 1 or gain < 0 and length < 2:
-            return out
-        pos, cost = pos + da + length, cost + c
-        out.append((pos, cost))
-        i, j = i + da + length, j + db + length
-
-
 class Grams:
-    """The grams of a word sequence, in order and sorted."""
+    """The words of a text or passage and their grams, in order."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
         self.all = grams(words, GRAM)[: max(0, len(words) - GRAM + 1)]
-        self.order = np.argsort(self.all, kind="stable")
-        self.sorted = self.all[self.order]
-
-
-def longest_stretch(passage: Grams, text: Grams) -> int:
-    """Words of the longest stretch of the passage found in the text by greedy extension of exact runs, with one edit in eight at most."""
-    a, b = passage.words, text.words
-    lo, hi = np.searchsorted(text.sorted, passage.all, "left"), np.searchsorted(text.sorted, passage.all, "right")
-    if int((hi > lo).sum()) < LEAST_GRAMS:
-        return 0
-    best, done = 0, set()
-    for i in np.flatnonzero(hi > lo).tolist():
-        for j in text.order[lo[i] : hi[i]].tolist():
-            if (i, j) in done:
-                continue
-            if i and j and a[i - 1] == b[j - 1]:
-                continue  # the run begins earlier
-            n = _run(a, b, i, j)
-            done.update((i + k, j + k) for k in range(n - GRAM + 1))
-            right = [(0, 0), *_chain(a, b, i + n, j + n)]
-            left = [(0, 0), *_chain(a[:i][::-1], b[:j][::-1], 0, 0)]
-            for wl, cl in left:
-                for wr, cr in right:
-                    span = wl + n + wr
-                    if (cl + cr) * PER_EDIT <= span:
-                        best = max(best, span)
-    return best
 
 
 def aligned_stretch(passage: Grams, text: Grams) -> bool:
@@ -150,11 +96,18 @@ def aligned_stretch(passage: Grams, text: Grams) -> bool:
     if not len(at):
         return False
     cuts = np.flatnonzero(np.diff(at) > 2 * REACH) + 1
-    edits = min(MOST_EDITS, len(a) // PER_EDIT)
     for near in np.split(at, cuts):
         part = b[max(0, near[0] - REACH) : near[-1] + GRAM + REACH]
+        # a word that the part lacks is an edit wherever it is: only words inside some 15 or more that keep the rate by that matter
+        room = np.concatenate([[0], np.cumsum(np.where(np.isin(a, part), 1, 1 - PER_EDIT))])
+        starts = np.flatnonzero(np.maximum.accumulate(room[: LEAST_WORDS - 1 : -1])[::-1] >= room[: len(room) - LEAST_WORDS])
+        if not len(starts):
+            continue
+        ends = LEAST_WORDS + np.flatnonzero(room[LEAST_WORDS:] >= np.minimum.accumulate(room)[: len(room) - LEAST_WORDS])
+        words = a[starts[0] : ends[-1]]
+        edits = min(MOST_EDITS, len(words) // PER_EDIT)
         last = np.full((edits + 1, len(part) + 1), -1 << 20)
-        for word in a:
+        for word in words:
             same = part == word
             new = np.full_like(last, -1 << 20)
             for e in range(edits + 1):
@@ -171,11 +124,8 @@ def aligned_stretch(passage: Grams, text: Grams) -> bool:
 
 
 def holds(passage: Grams, text: Grams) -> bool:
-    """Whether the text holds a stretch of the passage: greedily, else by the full alignment."""
-    a = passage.all
-    if int(np.isin(a, text.all).sum()) < LEAST_GRAMS:
-        return False
-    return longest_stretch(passage, text) >= LEAST_WORDS or aligned_stretch(passage, text)
+    """Whether the text holds a stretch of the passage, which keeps ``LEAST_GRAMS`` grams at least."""
+    return int(np.isin(passage.all, text.all).sum()) >= LEAST_GRAMS and aligned_stretch(passage, text)
 
 
 class Slab:
