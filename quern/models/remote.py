@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.prompts import Prompt, parse_boolean, to_number
 from quern.models.base import Model, ModelSpec
-from quern.staging import stage
+from quern.staging import existing, stage
 
 #: A client takes a prompt and gives (answer, input tokens, output tokens).
 Client = Callable[[str], tuple[str, int, int]]
@@ -61,10 +61,10 @@ class RemoteModel(Model):
         if not self.cache:
             return stage(self.complete(prompts), "answers")
         spark = prompts.sparkSession
-        try:
-            kept = spark.read.parquet(self.cache).filter(F.col("model") == self.spec.name).drop("model")
-        except Exception:  # no answer was ever kept
+        kept = existing(spark, self.cache)
+        if kept is None:
             return self._keep(stage(self.complete(prompts), "answers"))
+        kept = kept.filter(F.col("model") == self.spec.name).drop("model")
         fresh = stage(self.complete(prompts.join(kept, "prompt", "left_anti")), "answers")
         known = stage(prompts.join(kept, "prompt").withColumns({"in_tokens": F.lit(0).cast("long"), "out_tokens": F.lit(0).cast("long"), "error": F.lit(None).cast("string")}), "known")
         return known.select(fresh.columns).unionByName(self._keep(fresh))

@@ -8,7 +8,7 @@ with model answers that is used twice should be worked out once.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,37 +89,82 @@ class Join(Node):
         return left.join(right, condition, self.how).drop(*renamed.values())
 
 
+def parents(node: Node) -> dict[int, int]:
+    """How many inputs name each node of a plan."""
+    count: dict[int, int] = {}
+
+    def visit(x: Node) -> None:
+        for i in x.inputs:
+            count[id(i)] = count.get(id(i), 0) + 1
+            if count[id(i)] == 1:
+                visit(i)
+
+    visit(node)
+    return count
+
+
+def _rebuilt(node: Node, rule: Callable[[Node, dict[int, int]], Node]) -> Node:
+    """The plan with every node replaced by ``rule`` of it over its rebuilt inputs; a shared node stays one node.
+
+    ``rule`` gets a node that no other plan holds and the parents of each new node; it
+    makes new nodes and changes none.
+    """
+    count, done, new_count = parents(node), {}, {}
+
+    def visit(x: Node) -> Node:
+        if id(x) not in done:
+            done[id(x)] = rule(replace(x, inputs=[visit(i) for i in x.inputs]), new_count)
+            new_count[id(done[id(x)])] = count.get(id(x), 0)
+        return done[id(x)]
+
+    return visit(node)
+
+
+def _rank(f: Node) -> tuple[int, float]:
+    return (0, 0.0) if isinstance(f, Filter) else (1, f.price / max(1e-9, 1 - f.selectivity))
+
+
 def order_filters(node: Node) -> Node:
-    """In a chain of filters plain ones go first, then semantic ones by price over what they remove."""
-    chain, at = [], node
-    while isinstance(at, (Filter, SemFilter)):
-        chain.append(at)
-        at = at.inputs[0]
-    base = order_filters_inside(at)
-    if not chain:
-        return base
-    rank = lambda f: (0, 0.0) if isinstance(f, Filter) else (1, f.price / max(1e-9, 1 - f.selectivity))
-    out = base
-    for f in sorted(reversed(chain), key=rank):
-        f.inputs = [out]
-        out = f
-    return out
-
-
-def order_filters_inside(node: Node) -> Node:
-    node.inputs = [order_filters(x) for x in node.inputs]
-    return node
+    """In a chain of filters plain ones go first, then semantic ones by price over what they remove.
+
+    A filter that several steps read ends a chain: what they get from it mustn't change.
+    """
+
+    def rule(x: Node, count: dict[int, int]) -> Node:
+        if not isinstance(x, (Filter, SemFilter)):
+            return x
+        chain, at = [x], x.inputs[0]
+        while isinstance(at, (Filter, SemFilter)) and count.get(id(at)) == 1:
+            chain.append(at)
+            at = at.inputs[0]
+        out = at
+        for f in sorted(reversed(chain), key=_rank):
+            out = replace(f, inputs=[out])
+            count[id(out)] = 1
+        return out
+
+    return _rebuilt(node, rule)
 
 
 def delay_past_joins(node: Node) -> Node:
-    """A semantic filter under a selective inner join moves above it, so the model sees only rows that join."""
-    node.inputs = [delay_past_joins(x) for x in node.inputs]
-    if isinstance(node, Join) and node.selective and node.how == "inner" and isinstance(node.inputs[0], SemFilter):
-        f = node.inputs[0]
-        node.inputs[0] = f.inputs[0]
-        f.inputs = [delay_past_joins(node)]
-        return f
-    return node
+    """A semantic filter under a selective inner join moves above it, so the model sees only rows that join.
+
+    One that other steps read too stays where it is, to be worked out once.
+    """
+
+    def rule(x: Node, count: dict[int, int]) -> Node:
+        if not (isinstance(x, Join) and x.selective and x.how == "inner"):
+            return x
+        above = []
+        while isinstance(x.inputs[0], SemFilter) and count.get(id(x.inputs[0])) == 1:
+            above.append(x.inputs[0])
+            x = replace(x, inputs=[x.inputs[0].inputs[0], *x.inputs[1:]])
+        for f in reversed(above):
+            x = replace(f, inputs=[x])
+            count[id(x)] = 1
+        return x
+
+    return _rebuilt(node, rule)
 
 
 def shared_nodes(node: Node) -> set[int]:

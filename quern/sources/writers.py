@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.staging import stage
+from quern.staging import existing, stage
 
 
 def write_result(df: DataFrame, path: str, single: bool = False) -> None:
@@ -27,9 +27,8 @@ def merge_metrics(new: DataFrame, path: str, keys: list[str]) -> None:
     """
     spark = new.sparkSession
     new = new.dropDuplicates(keys)
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # there is none yet
+    old = existing(spark, path)
+    if old is None:
         new.write.mode("overwrite").parquet(path)
         return
     stage(old.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True), "metrics").write.mode("overwrite").parquet(path)
@@ -42,11 +41,9 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
 
 
 def load_if_changed(spark: SparkSession, df: DataFrame, path: str) -> bool:
-    """Write a table unless the one at ``path`` has the same rows; whether it was written."""
-    try:
-        if fingerprint(spark.read.parquet(path).select(df.columns)) == fingerprint(df):
-            return False
-    except Exception:  # there is none yet, or with other columns
-        pass
+    """Write a table unless the one at ``path`` has the same columns and rows; whether it was written."""
+    old = existing(spark, path)
+    if old is not None and sorted(old.columns) == sorted(df.columns) and fingerprint(old.select(df.columns)) == fingerprint(df):
+        return False
     df.write.mode("overwrite").parquet(path)
     return True

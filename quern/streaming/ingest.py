@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators.semantic import new_only
+from quern.staging import existing
 
 
 def ingest_new(stream: DataFrame, key: str, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
@@ -18,11 +19,9 @@ def ingest_new(stream: DataFrame, key: str, path: str, checkpoint: str, work: Ca
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        try:
-            known = df.sparkSession.read.parquet(path).select(key)
-        except Exception:  # nothing was ingested yet
-            known = df.select(key).limit(0)
-        work(new_only(known, df, key)).write.mode("append").parquet(path)
+        known = existing(df.sparkSession, path)
+        known = df.limit(0) if known is None else known
+        work(new_only(known.select(key), df, key)).write.mode("append").parquet(path)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
