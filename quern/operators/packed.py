@@ -23,8 +23,11 @@ from quern.tables import fresh
 
 #: Candidate delimiters; a dash counts only with blanks around it.
 DELIMITERS = ";,|/+&\t\n"
-ROUNDS = 4
 SMOOTHING = 0.5
+#: EM ends when no share moves by more than this; its likelihood never falls, so it does end.
+STILL = 1e-3
+#: Fields of more rows than this, and than one row in ``HEAVY_SHARE``, are joined in ``SALTS`` parts; there are ``HEAVY_SHARE`` of them at most.
+HEAVY_ROWS, HEAVY_SHARE, SALTS = 10_000, 1 << 13, 64
 #: Log probability of a second remark in a row, against a value after a remark.
 REMARK_AGAIN = math.log(0.1)
 
@@ -161,7 +164,7 @@ def delimiter_model(read: DataFrame) -> DataFrame:
     First atoms are values and bracketed or quoted tails are remarks for certain; the
     share of each (delimiter, atom) pair that separates is the hidden part. The counts
     are kept as tables, one row per distinct pair, and each round is written to shared
-    storage, as the next reads it three times.
+    storage, as the next reads it three times. Rounds end when the shares stand still.
     """
     first = read.filter(F.size("_keys") > 0).groupBy(F.col("_keys")[0].alias("key")).agg(F.sum("_n").alias("n"))
     remark = read.select(F.explode("_remarks").alias("key"), "_n").groupBy("key").agg(F.sum("_n").alias("n"))
@@ -177,7 +180,8 @@ def delimiter_model(read: DataFrame) -> DataFrame:
     state = pairs.join(sure, "key", "left").fillna(0.0, ["v0", "r0"])
     # begin with what the sure places say of each atom; unknown atoms are undecided
     state = stage(state.withColumn("p", (F.col("v0") + SMOOTHING) / (F.col("v0") + F.col("r0") + 2 * SMOOTHING)), "em")
-    for _ in range(ROUNDS):
+    moved = 1.0
+    while moved > STILL:
         sep = F.sum(F.col("n") * F.col("p"))
         by_mark = state.groupBy("mark").agg(((sep + SMOOTHING) / (F.sum("n") + 2 * SMOOTHING)).alias("pi"))
         by_key = state.groupBy("key").agg(
@@ -187,17 +191,21 @@ def delimiter_model(read: DataFrame) -> DataFrame:
         missing = sure.join(by_key, "key", "left_anti").agg(F.struct(F.coalesce(F.sum("v0"), F.lit(0.0)).alias("v"), F.coalesce(F.sum("r0"), F.lit(0.0)).alias("r")).alias("all"))
         a, b = sums.scalar(), missing.scalar()
         odds = F.log(F.col("pi") / (1 - F.col("pi"))) + F.log(F.col("v") / (a["v"] + b["v"])) - F.log(F.col("r") / (a["r"] + b["r"]))
-        state = stage(
-            state.join(by_mark, "mark").join(by_key, "key").withColumn("odds", odds)
-            .withColumn("p", 1 / (1 + F.exp(-F.col("odds")))).select("mark", "key", "n", "v0", "r0", "p", "odds"),
+        now = 1 / (1 + F.exp(-F.col("odds")))
+        state = stage(  # as many marks as DELIMITERS and the dash, so they are broadcast
+            state.join(F.broadcast(by_mark), "mark").join(by_key, "key").withColumn("odds", odds)
+            .select("mark", "key", "n", "v0", "r0", now.alias("p"), "odds", F.abs(now - F.col("p")).alias("moved")),
             "em",
         )
+        moved = state.agg(F.max("moved")).first()[0] or 0.0
     return state.select("mark", "key", "odds")
 
 
-def split_packed(df: DataFrame, column: str) -> DataFrame:
+def split_packed(df: DataFrame, column: str, least: int = 1) -> DataFrame:
     """One row per value packed in ``column``: pos BIGINT from 1 and ``value``, beside all columns.
 
+    Fields of fewer than ``least`` values are left out.
+
     Empty values are passed over and have no position; repeated ones keep theirs. Null
     and blank fields give no rows. The same field is split the same way in every row.
     ``n_values`` is the number of values of the field; columns of these names are replaced.
@@ -218,8 +226,18 @@ def split_packed(df: DataFrame, column: str) -> DataFrame:
     def values(atoms: pd.Series, gaps: pd.Series, odds: pd.Series) -> pd.Series:
         return pd.Series([split_by(list(a), list(g), [] if o is None else list(np.asarray(o, dtype=float))) for a, g, o in zip(atoms, gaps, odds)])
 
-    field, packed, at = fresh(df.columns, "_packed_field", "_packed_values", "_packed_at")
+    field, packed, at, salt, other, heavy_key = fresh(df.columns, "_packed_field", "_packed_values", "_packed_at", "_packed_salt", "_packed_other", "_packed_heavy")
     split = read.join(bound, "_field", "left").select(F.col("_field").alias(field), values("_atoms", "_gaps", F.col("_odds.odds")).alias(packed))
     kept = [c for c in df.columns if c not in ("n_values", "pos", "value")]
-    out = df.join(split, F.col(column) == F.col(field)).select(*kept, F.size(packed).alias("n_values"), F.posexplode(packed).alias(at, "value"))
+    split = split.filter(F.size(packed) >= least)
+    n_rows = read.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    heavy = read.filter(F.col("_n") > max(HEAVY_ROWS, n_rows // HEAVY_SHARE)).select(F.xxhash64("_field").alias(heavy_key))
+    if heavy.isEmpty():
+        both = df.join(split, F.col(column) == F.col(field))
+    else:  # the rows of a heavy field meet copies of its values, one per salt
+        spread_over = lambda x: x.join(F.broadcast(heavy), F.xxhash64(column if x is df else field) == F.col(heavy_key), "left")
+        salted = spread_over(df).withColumn(salt, F.when(F.col(heavy_key).isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0))
+        copies = spread_over(split).withColumn(other, F.explode(F.sequence(F.lit(0), F.when(F.col(heavy_key).isNotNull(), SALTS - 1).otherwise(0)))).drop(heavy_key)
+        both = salted.drop(heavy_key).join(copies, (F.col(column) == F.col(field)) & (F.col(salt) == F.col(other)))
+    out = both.select(*kept, F.size(packed).alias("n_values"), F.posexplode(packed).alias(at, "value"))
     return out.select(*kept, "n_values", (F.col(at) + 1).cast("long").alias("pos"), "value")

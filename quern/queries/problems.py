@@ -74,7 +74,7 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The damages of every image that has two or more."""
     images = table(spark, d, "car_images").select("image_id", "damage_status")
-    split = split_packed(images, "damage_status").filter((F.col("n_values") > 1) & F.col("image_id").isNotNull())
+    split = split_packed(images, "damage_status", 2).filter(F.col("image_id").isNotNull())
     return split.select("image_id", "pos", F.col("value").alias("damage")).distinct()
 
 
