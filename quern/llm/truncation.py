@@ -1,10 +1,12 @@
 """Texts that lost their end.
 
-Two sources of evidence. A near-copy that goes on where a text stops: candidate pairs
-come from min-hash banding over word shingles, each text meets every longer one of its
-buckets, and pairs whose similarity holds are aligned at the shorter text's end. For texts without
-such a copy, the closing words: how often, over all texts, the same last words stand at
-the end of a sentence, go on, or close a text.
+Two sources of evidence. A near-copy that goes on where a text stops: a text that lost much
+of its length is like the beginning of the longer one, not like the whole of it. So min-hash
+bands are taken over beginnings of stated numbers of words, of the text as far as it goes and
+of every longer text at all of these numbers, and over whole texts. Each text meets every
+longer one of its buckets, and pairs are aligned at the shorter text's end: the longer one up
+to there must be a near-copy. For texts without such a copy, the closing words: how often,
+over all texts, the same last words stand at the end of a sentence, go on, or close a text.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from quern.staging import stage
 from quern.tables import spread
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Nine bands of three: a pair of similarity 0.8 meets with probability 0.998.
+#: Nine bands of three.
 BANDS, ROWS = 9, 3
+#: Numbers of words at which beginnings are compared: the first, and how much more each next one has.
+FIRST_LEVEL, LEVEL_STEP = SHINGLE, 1.25
 #: Lengths of the closing word runs; a run must be seen this often to decide, and the longest that is decides.
 LENGTHS, LEAST = (1, 2, 3, 4, 6, 8), 4
 ORDERS = len(LENGTHS)
@@ -36,6 +40,8 @@ CLOSER_COUNT, CLOSER_SHARE = 2, 0.2
 HEADLINE_WORDS = 5
 #: Pairs up to this number are broadcast to fetch their texts (16 bytes each); more are joined by shuffle.
 BROADCAST_PAIRS = 1 << 20
+#: Closing runs of more texts than this, and than one text in ``HOT_SHARE``, get their counts by a broadcast of at most ``HOT_SHARE`` x 8 rows.
+HOT_ROWS, HOT_SHARE = 4096, 1 << 13
 #: A bucket of more texts is met in blocks of about this many, each a task's key of its own.
 BLOCK = 4096
 #: Allows any difference: of a text whose words the profile may take apart otherwise than ``aligned_end``.
@@ -113,22 +119,13 @@ def _runs(line: np.ndarray, place: np.ndarray, wanted: Callable[[np.ndarray], np
                 yield out, at
 
 
-def _bands(w: Words) -> np.ndarray:
-    """rows x BANDS bucket hashes; rows without a shingle have arbitrary ones."""
-    shingles, counts = gram_rows(w, SHINGLE)
-    out = np.zeros((w.rows, BANDS), np.uint64)
-    some = np.flatnonzero(counts)
-    if not len(some):
-        return out
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])[some]
-    with np.errstate(over="ignore"):
-        for b in range(BANDS):
-            key = np.full(len(some), b + 1, np.uint64)
-            for r in range(ROWS):
-                least = np.minimum.reduceat((shingles * _A[b * ROWS + r]) >> np.uint64(32), first)
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-            out[some, b] = key
-    return out
+def _levels(most: int) -> np.ndarray:
+    """The numbers of words of the beginnings of a text of ``most`` words."""
+    out, n = [], FIRST_LEVEL
+    while n <= most:
+        out.append(n)
+        n = max(n + 1, int(n * LEVEL_STEP))
+    return np.array(out, np.int64)
 
 
 # Bytes of texts whose words are the same to the profile and to ``aligned_end``: ASCII and the two bytes of small Latin letters; dashes, quotes and dots are told apart.
@@ -136,8 +133,8 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[:128] = True
 
 
-def _rooms(w: Words) -> np.ndarray:
-    """Of each row a number that its distinct shingles don't exceed, or ``ANY_ROOM`` where words may be taken apart in two ways."""
+def _odd(w: Words) -> np.ndarray:
+    """Which rows hold letters for which the two ways to find words may differ, so that their sketch bounds nothing."""
     odd = ~_PLAIN[w.data]
     for lead, low, high, width in ((0xC3, 0x9F, 0xBF, 2), (0xE2, 0x90, 0xA6, 3)):
         at = np.flatnonzero(w.data == lead)
@@ -147,41 +144,77 @@ def _rooms(w: Words) -> np.ndarray:
         for k in range(width):
             odd[at + k] = False
     seen = np.concatenate([[0], np.cumsum(odd)])
-    return np.where(np.diff(seen[w.row_bytes]) > 0, ANY_ROOM, np.maximum(np.diff(w.row_words) - SHINGLE + 1, 0)).astype(np.int32)
+    return np.diff(seen[w.row_bytes]) > 0
 
 
-def _sketches(w: Words) -> np.ndarray:
-    """rows x 2: 128 bits, each whether an odd number of the row's distinct shingles falls on it.
+class Beginnings:
+    """Buckets and sketches of every beginning of every text of five words or more, and of its whole.
 
-    Two rows' sketches differ in at most as many bits as their sets of shingles in elements.
+    One entry per text and level, then one per text as a whole: ``row``, ``level`` (its
+    number of words, 0 for the whole), ``keys`` (x BANDS), and ``sketch`` (x 2), 128 bits of
+    which each tells whether an odd number of the distinct shingles falls on it; two sketches
+    differ in at most as many bits as the sets of shingles in elements. All minima and sums
+    of a level are those of the one before and of the words between.
     """
-    shingles, counts = gram_rows(w, SHINGLE)
-    out = np.zeros((w.rows, 2), np.uint64)
-    some = np.flatnonzero(counts)
-    if not len(some):
-        return out
-    row = np.repeat(np.arange(len(some), dtype=np.uint64), counts[some])  # rows of five words or more in a chunk: under 2^20
-    keys = np.sort((row << np.uint64(44)) | (shingles >> np.uint64(20)))
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    row, bit, half = (keys >> np.uint64(44)).astype(np.int64), np.uint64(1) << (keys & np.uint64(63)), (keys >> np.uint64(6)) & np.uint64(1)
-    first = np.searchsorted(row, np.arange(len(some)))
-    for k in range(2):
-        out[some, k] = np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), first)
-    return out
 
+    def __init__(self, w: Words):
+        shingles, counts = gram_rows(w, SHINGLE)
+        n_words = np.diff(w.row_words)
+        some = np.flatnonzero(counts)
+        levels = _levels(int(n_words.max()) if w.rows else 0)
+        per_row = np.searchsorted(levels, n_words[some], "right")
+        last = np.where(per_row > 0, levels[per_row - 1] if len(levels) else 0, 0)
+        parts = per_row + (last < n_words[some])  # the words behind the last level are a part of their own
+        base = np.cumsum(parts) - parts
+        at = np.arange(int(parts.sum())) - np.repeat(base, parts)
+        begin = np.concatenate([[0], levels])[at] - np.where(at > 0, SHINGLE - 1, 0) if len(at) else at
+        first = np.repeat((np.cumsum(counts) - counts)[some], parts) + begin
+        deepest = int(parts.max()) if len(parts) else 0
+
+        def upto(x: np.ndarray, join) -> np.ndarray:
+            """Values of parts joined over all parts of a text up to each."""
+            for k in range(1, deepest):
+                i = base[parts > k] + k
+                x[i] = join(x[i], x[i - 1])
+            return x
+
+        size, whole = len(first), base + parts - 1
+        prefix = np.flatnonzero(at < np.repeat(per_row, parts))
+        self.row = np.concatenate([np.repeat(some, parts)[prefix], some])
+        self.level = np.concatenate([levels[at[prefix]] if len(prefix) else prefix, np.zeros(len(some), np.int64)])
+        pick = np.concatenate([prefix, whole])
+        self.own = np.concatenate([at[prefix] == (np.searchsorted(levels, n_words[self.row[: len(prefix)]] - 1, "right") - 1), np.ones(len(some), bool)])
+        self.shingles = np.where(self.level > 0, self.level, n_words[self.row]) - SHINGLE + 1
+        self.keys, self.sketch = np.zeros((len(pick), BANDS), np.uint64), np.zeros((len(pick), 2), np.uint64)
+        if not size:
+            return
+        with np.errstate(over="ignore"):
+            for b in range(BANDS):
+                key = mix(self.level.astype(np.uint64) * np.uint64(BANDS) + np.uint64(b + 1))
+                for r in range(ROWS):
+                    least = upto(np.minimum.reduceat((shingles * _A[b * ROWS + r]) >> np.uint64(32), first), np.minimum)[pick]
+                    key = mix(key * _STEP + least)
+                self.keys[:, b] = key
+        row = np.repeat(np.arange(len(some), dtype=np.uint64), counts[some])  # rows of five words or more in a chunk: under 2^20
+        keys = (row << np.uint64(44)) | (shingles >> np.uint64(20))
+        order = np.argsort(keys, kind="stable")
+        new = np.ones(len(keys), bool)
+        new[order[1:]] = keys[order[1:]] != keys[order[:-1]]  # the first place of each distinct shingle of a text
+        bit, half = np.uint64(1) << (keys & np.uint64(63)), (keys >> np.uint64(6)) & np.uint64(1)
+        for k in range(2):
+            self.sketch[:, k] = upto(np.bitwise_xor.reduceat(np.where(new & (half == k), bit, np.uint64(0)), first), np.bitwise_xor)[pick]
+
+
+_PROFILE = "row_id string, text_key long, n_words int, kind int, runs array<long>, bands array<long>"
 
-_PROFILE = "row_id string, text_key long, n_bytes int, n_words int, kind int, room int, s0 long, s1 long, runs array<long>, bands array<long>"
 
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each (id, key, text) without a stop: what stands at its end, its closing runs, and its buckets as a shorter copy."""
+    names = ["row_id", "text_key", "n_words", "kind", "runs", "bands"]
 
-def _lists(rows: np.ndarray, some: np.ndarray) -> pa.ListArray:
-    """A list per row; rows that aren't ``some`` have an empty one."""
-    ends = np.concatenate([[0], np.cumsum(some * rows.shape[1])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[some].reshape(-1).view(np.int64)))
-
+    def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.reshape(-1).view(np.int64)))
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each (id, key, text): what stands at its end, the closing runs if that is no stop, and its buckets."""
-    names = ["row_id", "text_key", "n_bytes", "n_words", "kind", "room", "s0", "s1", "runs", "bands"]
     for batch in batches:
         for w in words_of(batch.column(2), digits_alike=True):
             n_words = np.diff(w.row_words)
@@ -189,18 +222,21 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = np.zeros(w.rows, np.int32)
             for i in np.flatnonzero(n_words):
                 kinds[i] = closing_kind(w.data[w.ends[last[i]] : row_end[i]].tobytes().decode("utf-8", "replace"))
-            tails = np.zeros((w.rows, ORDERS + 2), np.uint64)
             open_rows = np.flatnonzero(kinds)
+            tails = np.zeros((len(open_rows), ORDERS + 2), np.uint64)
             line, place = _line(w)
             ends = place[last[open_rows]]
             for m, (run, _) in enumerate(_runs(line, ends)):
-                tails[open_rows, m] = run
+                tails[:, m] = run
             for m, (run, _) in zip((0, 1), _runs(line, ends - 1)):
-                tails[open_rows, ORDERS + m] = run
-            ids, keys = (batch.column(k).slice(w.first_row, w.rows) for k in (0, 1))
-            columns = [ids.cast(pa.string()), keys, pa.array(np.diff(w.row_bytes).astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(kinds), pa.array(_rooms(w))]
-            columns += [pa.array(np.ascontiguousarray(s).view(np.int64)) for s in _sketches(w).T]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(tails, kinds > 0), _lists(_bands(w), n_words >= SHINGLE)], names=names)
+                tails[:, ORDERS + m] = run
+            b = Beginnings(w)
+            mine = np.flatnonzero(b.own & (kinds[b.row] > 0))
+            mine = mine[np.argsort(b.row[mine], kind="stable")]
+            n_bands = BANDS * np.bincount(b.row[mine], minlength=w.rows)[open_rows]
+            ids, keys = (batch.column(k).slice(w.first_row, w.rows).take(pa.array(open_rows)) for k in (0, 1))
+            columns = [ids.cast(pa.string()), keys, pa.array(n_words[open_rows].astype(np.int32)), pa.array(kinds[open_rows])]
+            yield pa.RecordBatch.from_arrays([*columns, lists(tails, np.full(len(open_rows), ORDERS + 2)), lists(b.keys[mine], n_bands)], names=names)
 
 
 _KINDS = ("stops", "goes_on", "closes", "marked")
@@ -259,18 +295,25 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 def aligned_end(short: str, long: str) -> bool | None:
-    """Whether the longer copy goes on where the shorter one stops; None if the ends don't align."""
+    """Whether the longer copy goes on where the shorter one stops; None if it isn't a copy.
+
+    The longer text up to the place of the shorter one's end, or as a whole, must have
+    similarity ``SIMILARITY`` with the shorter one; its last word, that may be cut, is left
+    out. Of several places with the same last words the one of like length counts.
+    """
     a, b = list(_WORDS.finditer(short.lower())), list(_WORDS.finditer(long.lower()))
     aw, bw = [m.group() for m in a], [m.group() for m in b]
     shingles = lambda w: {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
-    sa, sb = shingles(aw), shingles(bw)
-    if not sa or not sb or len(sa & sb) < SIMILARITY * len(sa | sb):
+    near = lambda x, y: bool(x and y) and len(x & y) >= SIMILARITY * len(x | y)
+    if len(aw) < SHINGLE:
         return None
     lead = aw[-SHINGLE:-1]
     places = [i for i in range(len(bw) - len(lead)) if bw[i : i + len(lead)] == lead]
     if not places:
         return None
     at = min(places, key=lambda i: abs(i + len(lead) - (len(aw) - 1))) + len(lead)
+    if not near(shingles(aw), shingles(bw)) and not near(shingles(aw[:-1]), shingles(bw[:at])):
+        return None
     if bw[at] != aw[-1]:
         return True if bw[at].startswith(aw[-1]) else None
     if at + 1 == len(bw):
@@ -278,17 +321,36 @@ def aligned_end(short: str, long: str) -> bool | None:
     return not re.search(r"[.!?…]", long[b[at].end() : b[at + 1].start()])
 
 
-def _buckets(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row per text and bucket that the bitmap may hold, from columns of which the last is ``bands``."""
+_ENTRY = "text_key long, n_bytes int, short boolean, bucket long"
+_SKETCHED = _ENTRY + ", level int, room int, s0 long, s1 long"
+
+
+def _entries(bits, sketched: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each (text_key, text) a row per bucket that the bitmap may hold; equal texts of a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bands, names = b.column(b.num_columns - 1), b.schema.names[:-1]
-            counts = bands.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            buckets = bands.flatten().to_numpy(zero_copy_only=False)
-            ok = np.flatnonzero(member(bits.value, buckets)) if len(buckets) else np.zeros(0, np.int64)
-            row = pa.array(np.repeat(np.arange(len(counts)), counts)[ok])
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in range(len(names))], pa.array(buckets[ok])], names=[*names, "bucket"])
+        for batch in batches:
+            _, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            batch = batch.take(pa.array(np.sort(first)))
+            for w in words_of(batch.column(1), digits_alike=True):
+                b = Beginnings(w)
+                entry, band = np.nonzero(member(bits.value, b.keys.reshape(-1)).reshape(b.keys.shape))
+                row = b.row[entry]
+                may_end = np.zeros(w.rows, bool)
+                for i in np.unique(row[b.own[entry]]).tolist():
+                    may_end[i] = closing_kind(w.data[w.ends[w.row_words[i + 1] - 1] : w.row_bytes[i + 1]].tobytes().decode("utf-8", "replace")) != STOPPED
+                keys = batch.column(0).slice(w.first_row, w.rows)
+                columns = {
+                    "text_key": keys.take(pa.array(row)),
+                    "n_bytes": pa.array(np.diff(w.row_bytes).astype(np.int32)[row]),
+                    "short": pa.array(b.own[entry] & may_end[row]),
+                    "bucket": pa.array(b.keys[entry, band].view(np.int64)),
+                }
+                if sketched:
+                    columns["level"] = pa.array(b.level[entry].astype(np.int32))
+                    columns["room"] = pa.array(np.where(_odd(w)[row], ANY_ROOM, b.shingles[entry]).astype(np.int32))
+                    columns |= {f"s{k}": pa.array(b.sketch[entry, k].view(np.int64)) for k in range(2)}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -296,29 +358,31 @@ def _buckets(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 def _copies(profile: DataFrame, rows: DataFrame) -> DataFrame:
     """(text_key, goes_on) for texts without a stop whose end aligns with a longer near-copy.
 
-    Only buckets that hold such a text and a longer one matter, so rows are sifted by the
+    Only buckets that hold such a text and a longer one matter, so entries are sifted by the
     bitmaps of these. There each open text meets every longer one; exact copies count once,
     and a bucket of more than ``BLOCK`` rows is met in blocks, so no task has more than the
-    open texts of a bucket against one block. Texts of similarity s differ in at most
-    (1 - s) / (1 + s) of the shingles of both, so a pair whose sketches differ in more
-    bits is dropped before its texts are fetched: a bound that loses no pair.
+    open texts of a bucket against one block. Whole texts of similarity s differ in at most
+    (1 - s) / (1 + s) of the shingles of both; beginnings of texts that do so up to the end
+    of the shorter one differ in at most 2.6 times that, as words put in before the level
+    shift as many shingles over it and the level has four fifths of the words. A pair whose
+    sketches differ in more bits is dropped before its texts are fetched, which loses none.
     """
-    columns = profile.select("text_key", "n_bytes", "kind", "bands")
-    bits = bitmap(columns.filter(F.col("kind") > 0).select(F.explode("bands").alias("bucket")), "bucket")
-    met = columns.mapInArrow(_buckets(bits), "text_key long, n_bytes int, kind int, bucket long")
-    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("most"), F.min(F.when(F.col("kind") > 0, F.col("n_bytes"))).alias("least"))
+    texts = rows.select("text_key", "text").filter(F.col("text").isNotNull())
+    bits = bitmap(profile.select(F.explode("bands").alias("bucket")), "bucket")
+    met = texts.mapInArrow(_entries(bits, False), _ENTRY)
+    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("most"), F.min(F.when(F.col("short"), F.col("n_bytes"))).alias("least"))
     sizes = stage(sizes.filter(F.col("least") < F.col("most")).select("bucket", "n"), "buckets")
     hot = sizes.filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_PAIRS else hot
-    columns = profile.select("text_key", "n_bytes", "kind", "room", "s0", "s1", "bands")
-    met = columns.mapInArrow(_buckets(bitmap(sizes, "bucket")), "text_key long, n_bytes int, kind int, room int, s0 long, s1 long, bucket long")
+    met = texts.mapInArrow(_entries(bitmap(sizes, "bucket"), True), _SKETCHED)
     met = met.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    sides = ["n_bytes", "room", "s0", "s1"]
-    short = met.filter(F.col("kind") > 0).select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text_key", *sides)
-    long = met.select("bucket", F.pmod("text_key", "blocks").cast("int").alias("block"), F.col("text_key").alias("long_key"), *[F.col(c).alias(f"long_{c}") for c in sides])
+    sides = ["n_bytes", "level", "room", "s0", "s1"]
+    short = met.filter("short").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text_key", *sides)
+    long = met.select("bucket", F.pmod("text_key", "blocks").cast("int").alias("block"), F.col("text_key").alias("long_key"), *[F.col(c).alias(f"long_{c}") for c in sides if c != "level"])
     short, long = (side.repartition("bucket", "block").distinct() for side in (short, long))
     differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"long_{c}"))) for c in ("s0", "s1"))
-    near = differ * (1 + SIMILARITY) <= (F.col("room") + F.col("long_room")) * (1 - SIMILARITY) + 1e-6
+    share = (1 - SIMILARITY) / (1 + SIMILARITY)
+    near = differ <= (F.col("room") + F.col("long_room")) * F.when(F.col("level") == 0, F.lit(share)).otherwise(F.lit(2.6 * share)) + 1e-6
     pairs = short.join(long, ["bucket", "block"]).filter((F.col("n_bytes") < F.col("long_n_bytes")) & near).select("text_key", "long_key").distinct()
     pairs = stage(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("text_key", "long_key")).alias("text_key")).distinct()
@@ -335,6 +399,21 @@ def _copies(profile: DataFrame, rows: DataFrame) -> DataFrame:
     return aligned.groupBy("text_key").agg(F.max("goes_on").alias("goes_on"))
 
 
+def _run_counts(tails: DataFrame, rows: DataFrame) -> DataFrame:
+    """``tails`` (text_key, at, run) with how their runs end in all texts.
+
+    A common last word closes many texts; runs of so many get their counts by a broadcast,
+    and only the others by a shuffle on the run.
+    """
+    counts = rows.select("text").mapInArrow(_counter(bitmap(tails, "run")), "run long, " + ", ".join(f"{c} long" for c in _KINDS))
+    counts = stage(counts.groupBy("run").agg(*[F.sum(c).alias(c) for c in _KINDS]), "counts")
+    least = max(HOT_ROWS, tails.count() // (8 * HOT_SHARE))
+    hot = stage(tails.groupBy("run").count().filter(F.col("count") > least).select("run"), "hot")
+    known = F.broadcast(counts.join(F.broadcast(hot), "run"))
+    rest = tails.join(F.broadcast(hot), "run", "left_anti").join(counts, "run")
+    return rest.unionByName(tails.join(known, "run"))
+
+
 def truncated(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """The rows whose text lost its end: (row_id STRING, by STRING), one per id.
 
@@ -344,23 +423,24 @@ def truncated(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """
     rows = spread(df.select(F.col(row_id).cast("string").alias("row_id"), F.col(text).alias("text")))
     rows = rows.select("row_id", F.xxhash64("text").alias("text_key"), "text")
-    profile = stage(rows.mapInArrow(_profile, _PROFILE), "profile")
-    open_rows = profile.filter((F.col("kind") > 0) & F.col("row_id").isNotNull())
-    tails = open_rows.select("row_id", "text_key", "kind", "n_words", F.posexplode("runs").alias("at", "run"))
-    bits = bitmap(tails, "run")
-    counts = rows.select("text").mapInArrow(_counter(bits), "run long, " + ", ".join(f"{c} long" for c in _KINDS))
-    counts = counts.groupBy("run").agg(*[F.sum(c).alias(c) for c in _KINDS])
+    profile = stage(rows.filter(F.col("row_id").isNotNull()).mapInArrow(_profile, _PROFILE), "profile")
+    once = profile.select("text_key", "kind", "n_words", "runs").dropDuplicates(["text_key"])
+    tails = stage(once.select("text_key", "kind", "n_words", F.posexplode("runs").alias("at", "run")), "tails")
     needed = [(c, m) for c in ("stops", "goes_on") for m in range(ORDERS)] + [(c, m) for c in ("closes", "marked") for m in (1, 2)]
     needed += [("goes_on", ORDERS), ("goes_on", ORDERS + 1)]
     looked = (
-        tails.join(counts, "run")
-        .groupBy("row_id", "text_key", "kind", "n_words")
+        _run_counts(tails, rows)
+        .groupBy("text_key", "kind", "n_words")
         .agg(*[F.max(F.when(F.col("at") == m, F.col(c))).alias(f"{c}{m}") for c, m in needed])
     )
     count = lambda c, m: F.coalesce(F.col(f"{c}{m}"), F.lit(0))
-    closing = looked.select("row_id", "text_key", _verdict(F.col("kind"), F.col("n_words"), count).alias("cut"))
+    closing = looked.select("text_key", _verdict(F.col("kind"), F.col("n_words"), count).alias("cut"))
     both = closing.join(_copies(profile, rows), "text_key", "left").withColumn("by", F.when(F.col("goes_on").isNotNull(), "copy").otherwise("closing"))
-    return both.filter(F.coalesce("goes_on", "cut")).groupBy("row_id").agg(F.max("by").alias("by"))
+    cut = stage(both.filter(F.coalesce("goes_on", "cut")).select("text_key", "by"), "cut")
+    few = cut.count() <= BROADCAST_PAIRS
+    # one text may be that of many rows: the table of cut texts is broadcast, or both sides are plain shuffles that adaptive execution splits
+    found = profile.select("row_id", "text_key").join(F.broadcast(cut) if few else cut, "text_key")
+    return found.groupBy("row_id").agg(F.max("by").alias("by"))
 
 
 def source_rates(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame:

@@ -62,20 +62,73 @@ def test_every_longer_text_of_a_bucket_is_met(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in got.collect()) == [("again", "copy"), ("cut", "copy")]
 
 
+def beginnings(texts):
+    (w,) = words_of(pa.array(texts), digits_alike=True)
+    return w, t.Beginnings(w)
+
+
 def test_sketches_never_differ_by_more_than_the_shingles():
     rng = np.random.default_rng(1)
     words = [f"w{chr(97 + i)}" for i in range(12)]  # few words, so that shingles come twice
-    texts = [" ".join(rng.choice(words, rng.integers(0, 90))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 90))) for _ in range(40)]
     texts += [" ".join(x.split()[: rng.integers(1, 90)]) for x in texts]
-    (w,) = words_of(pa.array(texts))
-    s, room = t._sketches(w), t._rooms(w)
-    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in texts]
-    for i, a in enumerate(sets):
-        assert len(a) <= room[i]
-        for j, b in enumerate(sets):
-            assert np.bitwise_count(s[i] ^ s[j]).sum() <= len(a ^ b)
+    _, b = beginnings(texts)
+    sets = []
+    for row, level in zip(b.row, b.level):
+        x = texts[row].split()[: level or None]
+        sets.append({tuple(x[i : i + 5]) for i in range(len(x) - 4)})
+    assert {(r, n) for r, n in zip(b.row.tolist(), b.level.tolist()) if n} == {(r, int(n)) for r, x in enumerate(texts) for n in t._levels(len(x.split()))}
+    assert len(sets) > 300 and all(len(a) <= b.shingles[i] for i, a in enumerate(sets))
+    for i in rng.integers(0, len(sets), 60):
+        for j, other in enumerate(sets):
+            assert np.bitwise_count(b.sketch[i] ^ b.sketch[j]).sum() <= len(sets[i] ^ other)
+
+
+def test_letters_that_two_ways_of_reading_may_split_bound_nothing():
     (w,) = words_of(pa.array(["plain – “words”, café…", "É", "a\u0301 b", "3 × 4", "plain"]))
-    assert (t._rooms(w) == t.ANY_ROOM).tolist() == [False, True, True, True, False]
+    assert t._odd(w).tolist() == [False, True, True, True, False]
+
+
+def test_a_level_of_a_text_is_that_of_any_text_that_goes_on():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    _, b = beginnings([" ".join(words[:n]) for n in (60, 47, 20, 9, 8, 7, 4)])
+    keys = {(r, n): b.keys[k].tolist() for k, (r, n) in enumerate(zip(b.row.tolist(), b.level.tolist()))}
+    own = {r: n for r, n, own in zip(b.row.tolist(), b.level.tolist(), b.own) if own and n}
+    assert own == {0: 51, 1: 41, 2: 18, 3: 8, 4: 7, 5: 6}
+    assert all(keys[r, own[r]] == keys[0, own[r]] for r in own) and (6, 0) not in keys and (5, 0) in keys
+
+
+def test_levels_grow_by_a_quarter():
+    n = t._levels(100_000)
+    assert n[0] == t.FIRST_LEVEL and (n[1:] <= np.maximum(n[:-1] + 1, n[:-1] * t.LEVEL_STEP)).all() and len(t._levels(4)) == 0
+
+
+@pytest.mark.parametrize("share", [0.12, 0.3, 0.5, 0.7, 0.9])
+def test_copies_that_keep_a_share_of_their_words_are_aligned(spark, share):
+    """A tenth to nine tenths are lost; of longer parts the first word is another one."""
+    rng = np.random.default_rng(int(100 * share))
+    words = np.array([f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)])
+    rows = []
+    for k in range(60):
+        full = list(rng.choice(words, 100))
+        part = full[: int(100 * share)]
+        if len(part) >= 30:
+            part[0] = "another"
+        rows += [(f"full{k}", " ".join(full) + "."), (f"cut{k}", " ".join(part)[:-1])]
+    got = {r["row_id"] for r in t.truncated(spark.createDataFrame(rows, "id string, body string"), "id", "body").filter("by = 'copy'").collect()}
+    assert len(got) >= 54 and all(x.startswith("cut") for x in got)
+
+
+def test_one_text_in_a_third_of_the_rows(spark, monkeypatch):
+    """Reposts of one text, and one last word behind many texts, give the same rows by either way to join."""
+    base = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    rows = [(f"again{k}", base) for k in range(300)] + [("full", base + " and so on.")] + [(f"other{k}", f"Number {k} is a thing of the") for k in range(300)]
+    df = spark.createDataFrame(rows, "id string, body string")
+    one = sorted(tuple(r) for r in t.truncated(df, "id", "body").collect())
+    monkeypatch.setattr(t, "HOT_ROWS", 10)
+    monkeypatch.setattr(t, "BROADCAST_PAIRS", 0)
+    assert sorted(tuple(r) for r in t.truncated(df, "id", "body").collect()) == one
+    assert sum(by == "copy" for _, by in one) == 300
 
 
 def test_alignment():
@@ -102,12 +155,11 @@ def test_kinds_of_endings():
 
 def test_bands_find_similar_texts():
     rng = np.random.default_rng(0)
-    words = [f"w{i}" for i in range(400)]
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
     found = 0
     for _ in range(200):
         a = list(rng.choice(words, 100))
-        b = a[:92]  # 88 of 96 shingles
-        (w,) = words_of(pa.array([" ".join(a), " ".join(b)]))
-        bands = t._bands(w)
-        found += bool((bands[0] == bands[1]).any())
+        _, b = beginnings([" ".join(a), " ".join(a[:92])])  # 88 of 96 shingles
+        whole = b.keys[b.level == 0]
+        found += bool((whole[0] == whole[1]).any())
     assert found >= 198
