@@ -16,24 +16,36 @@ def test_completion_against_brute_force():
         sizes = np.array([rng.randrange(1, 30) for _ in range(rng.randrange(1, 10))])
         room = rng.randrange(1, 60)
         best = max(sum(c) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes.tolist(), n) if sum(c) <= room)
-        got = packing.complete(packing.Sizes(sizes), room, steps=10**6)
-        assert sum(got) == best
+        got, certain = packing.complete(packing.Sizes(sizes), room, steps=None)
+        assert sum(got) == best and certain
         assert all(got.count(s) <= sizes.tolist().count(s) for s in got)
 
 
 def test_fill_uses_every_item_once_and_no_container_overflows():
     rng = random.Random(9)
     sizes = np.array([rng.randrange(1, 2048) for _ in range(3000)])
-    filled = packing.fill(sizes, 2048)
+    filled, _ = packing.fill(sizes, 2048)
     assert sorted(itertools.chain.from_iterable(filled)) == list(range(3000))
     assert max(sizes[c].sum() for c in filled) <= 2048
     assert len(filled) <= 1.02 * -(-sizes.sum() // 2048) + 1
 
 
 def test_many_tiny_and_many_large_items():
-    assert len(packing.fill(np.ones(5000, np.int64), 2048)) == 3
-    assert len(packing.fill(np.full(300, 1500), 2048)) == 300
-    assert packing.fill(np.zeros(0, np.int64), 2048) == []
+    assert len(packing.fill(np.ones(5000, np.int64), 2048)[0]) == 3
+    assert len(packing.fill(np.full(300, 1500), 2048)[0]) == 300
+    assert packing.fill(np.zeros(0, np.int64), 2048) == ([], [])
+
+
+def test_a_search_out_of_steps_is_told():
+    sizes = np.array([2 * k for k in range(20, 60)])  # an odd room can't be filled, and many ways nearly fill it
+    full, certain = packing.complete(packing.Sizes(sizes), 501, steps=None)
+    some, told = packing.complete(packing.Sizes(sizes), 501, steps=3)
+    assert certain and not told and sum(full) == 500 and sum(some) <= 500
+
+
+def test_branches_that_cannot_win_are_cut_off():
+    sizes = np.array([1000, 3, 2, 1])
+    assert packing.complete(packing.Sizes(sizes), 1500, steps=1) == ([1000, 3, 2, 1], True)
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +69,7 @@ def test_packing_round_trip(spark, docs, monkeypatch):
     got = {}
     for r in rows:
         got.setdefault((r["id"]), []).append((r["piece_no"], r["n_tokens"]))
+        assert r["first_token"] == (r["piece_no"] - 1) * packing.CAPACITY
     assert sum(n for _, n in want) == sum(r["n_tokens"] for r in rows)
     for i, n in want:
         if i != 1:
