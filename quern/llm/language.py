@@ -1,10 +1,11 @@
 """The language of documents and of the segments of mixed ones.
 
-Every word has a score per language, from its letter groups and its whole form in a table
-of fixed size that is fitted on a bounded sample of labelled texts. Words that aren't in a
-script of the languages have none. A Viterbi path over the sentences' summed word scores,
-with a penalty for each switch, labels the text; a phrase inside a sentence or in brackets
-behind it can't switch.
+The script of a word narrows its candidates: one that only one language here is written in
+decides alone. Every word of a shared script has a score per language, from its letter
+groups and its whole form in a table of fixed size that is fitted on a bounded sample of
+labelled texts. A Viterbi path over the words, with a penalty for each switch that is
+greater inside a sentence, labels spans of mixed texts. Segments are whole sentences, each
+in the language of most of its words on the path; words in brackets or quotes don't speak.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ LANGUAGES = ("en", "es", "fr", "de", "pt", "nl")
 SAMPLE, SAMPLE_CHARS = 400, 4000
 #: Rows of the score table.
 BUCKETS = 1 << 16
-#: What a switch of language costs, in units of a word's score.
-SWITCH = 4.0
+#: What a switch of language costs where a sentence begins, and inside one, in units of a word's score.
+SWITCH, INSIDE = 4.0, 12.0
 CLIP, WHOLE_WORD = 3.0, 2.0
 
 # Names and codes of the languages as labels give them.
@@ -42,14 +43,27 @@ NAMES = {
     "pt": "pt por portuguese português portugues portugués portugais portugiesisch portugees",
     "nl": "nl nld dut dutch nederlands holandés néerlandais niederländisch holandês flemish vlaams",
 }
-_CODES = {name: code for code, names in NAMES.items() for name in names.split()}
 
-# Scripts by range of letters, with the languages written in each.
-SCRIPTS = [(0x0041, 0x024F, LANGUAGES), (0x1E00, 0x1EFF, LANGUAGES), (0x0370, 0x03FF, ()), (0x0400, 0x052F, ()), (0x0590, 0x05FF, ()), (0x0600, 0x06FF, ()), (0x0900, 0x0DFF, ()), (0x3040, 0x30FF, ()), (0x4E00, 0x9FFF, ()), (0xAC00, 0xD7AF, ())]
+# Scripts by range of letters, with the languages written in each; where a script has many, a code of the script stands for them.
+SCRIPTS = [
+    (0x0041, 0x024F, LANGUAGES), (0x0370, 0x03FF, ("el",)), (0x0400, 0x052F, ("und-Cyrl",)), (0x0530, 0x058F, ("hy",)), (0x0590, 0x05FF, ("he",)),
+    (0x0600, 0x077F, ("und-Arab",)), (0x0900, 0x097F, ("und-Deva",)), (0x0E00, 0x0E7F, ("th",)), (0x10A0, 0x10FF, ("ka",)), (0x1E00, 0x1EFF, LANGUAGES),
+    (0x1F00, 0x1FFF, ("el",)), (0x3040, 0x30FF, ("ja",)), (0x4E00, 0x9FFF, ("zh", "ja")), (0xAC00, 0xD7AF, ("ko",)),
+]
+NAMES |= {
+    "el": "el ell gre greek", "und-Cyrl": "ru rus russian uk ukr ukrainian bg bul bulgarian sr srp serbian", "hy": "hy hye armenian", "he": "he heb hebrew",
+    "und-Arab": "ar ara arabic fa fas persian ur urd urdu", "und-Deva": "hi hin hindi mr mar marathi ne nep nepali", "th": "th tha thai", "ka": "ka kat georgian",
+    "ja": "ja jpn japanese", "zh": "zh zho chi chinese", "ko": "ko kor korean",
+}
+_CODES = {name: code for code, names in NAMES.items() for name in names.split()}
+#: The states of a path: the languages of the fit, then those that a script decides.
+STATES = (*LANGUAGES, *[code for code in NAMES if code not in LANGUAGES])
+#: Scripts without blanks between words; so many letters count as a word.
+UNSPACED, LETTERS_A_WORD = {"th", "ja", "zh"}, 2
 
 
 def code_of(label: Column) -> Column:
-    """The language a label names, whatever its notation; null if none of ``LANGUAGES``."""
+    """The language a label names, whatever its notation; null if none of ``STATES``."""
     key = F.lower(F.regexp_replace(F.trim(label), r"[-_ ](?:[A-Za-z]{2}|[A-Za-z]{4}|\d{3})$", ""))
     table = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
     return F.try_element_at(table, key)
@@ -82,24 +96,37 @@ class Scores:
         self.cache: dict[int, np.ndarray] = {}
 
     def word(self, word: str) -> np.ndarray:
-        """Score of a word per language, 0 on average; all 0 for what isn't a word of them."""
-        if not candidates(word):
+        """Score of a word per language of the fit, 0 on average; all 0 for what isn't a word of them."""
+        if candidates(word) != LANGUAGES:
             return np.zeros(len(LANGUAGES))
         rows = self.table[_groups(_plain(word))]
         v = rows[:-1].mean(axis=0) + WHOLE_WORD * rows[-1]
         return np.clip(v - v.mean(), -CLIP, CLIP)
 
+    def state(self, word: str) -> np.ndarray:
+        """Score of a word per state: what its script leaves, by the fit where that is several languages."""
+        of = candidates(word)
+        out = np.zeros(len(STATES))
+        if of == LANGUAGES:
+            out[: len(LANGUAGES)] = self.word(word)
+            out[len(LANGUAGES) :] = -CLIP
+        elif of:
+            weight = max(1.0, len(word) / LETTERS_A_WORD) if UNSPACED & set(of) else 1.0
+            for k, code in enumerate(of):  # of several the first, unless other letters speak for another
+                out[STATES.index(code)] = CLIP * weight - 0.1 * k
+        return out
+
     def words(self, w: Words) -> np.ndarray:
-        """Scores of all words of a chunk, each distinct one worked out once."""
+        """Scores of all words of a chunk per state, each distinct one worked out once."""
         code, keys = pd.factorize(w.hashes)
         first = np.zeros(len(keys), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         if len(self.cache) > 1 << 18:
             self.cache.clear()
-        out = np.zeros((len(keys), len(LANGUAGES)))
+        out = np.zeros((len(keys), len(STATES)))
         for k, key in enumerate(keys.tolist()):
             if (v := self.cache.get(key)) is None:
-                v = self.cache[key] = self.word(w.text(int(first[k])))
+                v = self.cache[key] = self.state(w.text(int(first[k])))
             out[k] = v
         return out[code]
 
@@ -140,22 +167,72 @@ def fit(texts: list[str], labels: list[str]) -> Scores:
     return Scores(_table(counts))
 
 
-def path(scores: np.ndarray) -> np.ndarray:
-    """Viterbi: the language of each sentence, a switch costing ``SWITCH``; of equal ones the first."""
-    n, k = scores.shape
-    best, back = scores[0].copy(), np.zeros((n, k), np.int64)
-    for i in range(1, n):
-        top = int(best.argmax())
-        switch = best[top] - SWITCH > best
-        back[i] = np.where(switch, top, np.arange(k))
-        best = np.where(switch, best[top] - SWITCH, best) + scores[i]
-    out = np.zeros(n, np.int64)
-    out[-1] = int(best.argmax())
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
+def path(score: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Viterbi over the words of padded texts (text, place, state): the best states; of equal ones that without a switch, then the first."""
+    n, m, k = score.shape
+    best, back = score[:, 0].copy(), np.zeros((m, n, k), np.int8)
+    rows, same = np.arange(n), np.arange(k, dtype=np.int8)
+    for i in range(1, m):
+        top = best.argmax(axis=1)
+        other = (best[rows, top] - np.where(begins[:, i], SWITCH, INSIDE))[:, None]
+        switch = (other > best) & (i < lengths)[:, None]
+        back[i] = np.where(switch, top[:, None], same)
+        best = np.where(switch, other, best) + np.where((i < lengths)[:, None], score[:, i], 0)
+    out = np.zeros((n, m), np.int8)
+    out[:, -1] = best.argmax(axis=1)
+    for i in range(m - 1, 0, -1):
+        out[:, i - 1] = back[i][rows, out[:, i]]
+    return out
+
+
+def mixed(value: np.ndarray, row_words: np.ndarray, main: np.ndarray) -> np.ndarray:
+    """Which texts' best path may leave the state ``main`` that has the greatest sum.
+
+    A path that leaves it for m states side by side switches m - 1 times at least, m if it
+    has the main state beside them. Where no run of words gives another state half a switch
+    more than the main one, that can't pay; the bound is exact.
+    """
+    n = np.diff(row_words)
+    out = np.zeros(len(n), bool)
+    filled = np.flatnonzero(n)
+    if not len(filled):
+        return out
+    row = np.repeat(np.arange(len(n)), n)
+    base = value[np.arange(len(row)), main[row]]
+    for k in range(value.shape[1]):
+        gain = np.cumsum(value[:, k] - base)
+        before = np.concatenate([[0.0], gain[:-1]])
+        apart = 2 * np.abs(gain).max() + 1.0  # rows further on lie lower, so a least value is one of the same row
+        least = np.minimum.accumulate(before - apart * row) + apart * row
+        out[filled] |= np.maximum.reduceat(gain - least, row_words[filled]) > SWITCH / 2
     return out
 
 
+def labels_of(w: Words, value: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The state of each word on its text's best path; texts of like length go together."""
+    n = np.diff(w.row_words)
+    total = np.zeros((w.rows, value.shape[1]))
+    filled = np.flatnonzero(n)
+    if len(filled):
+        total[filled] = np.add.reduceat(value, w.row_words[filled], axis=0)
+    main = total.argmax(axis=1)
+    labels = np.repeat(main, n).astype(np.int8)
+    order = np.flatnonzero(mixed(value, w.row_words, main))
+    order = order[np.argsort(n[order], kind="stable")]
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and j - i < 512 and n[order[j]] * (j - i + 1) < 1 << 16:
+            j += 1
+        rows, m = order[i:j], int(n[order[j - 1]])
+        at = w.row_words[rows][:, None] + np.arange(m)
+        ok = np.arange(m) < n[rows][:, None]
+        at = np.where(ok, at, 0)
+        labels[at[ok]] = path(value[at], begins[at], n[rows])[ok]
+        i = j
+    return labels
+
+
 def _flags(w: Words, signs: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(signs)] = True
@@ -175,6 +252,17 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
 
 
+def _full_stop(w: Words) -> np.ndarray:
+    """Which words end with a full-width stop, as these signs count as letters of the word before."""
+    out = np.zeros(len(w.starts), bool)
+    for sign in "。！？":
+        a, b, c = sign.encode()
+        at = np.flatnonzero(w.ends - w.starts >= 3)
+        end = w.ends[at]
+        out[at] |= (w.data[end - 3] == a) & (w.data[end - 2] == b) & (w.data[end - 1] == c)
+    return out
+
+
 def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Of each word: whether a sentence begins with it, and whether it stands in brackets or quotes."""
     n = len(w.starts)
@@ -186,6 +274,7 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     blanks = _sums(_flags(w, b" \t\r\n"))
     gap_from, gap_to = np.concatenate([[0], w.ends[:-1]]), w.starts
     stopped = (stops[gap_to] > stops[gap_from]) & (blanks[gap_to] > blanks[gap_from])
+    stopped[1:] |= _full_stop(w)[:-1]
     begins = stopped | (lines[gap_to] - lines[gap_from] > 1)
     begins[w.row_words[:-1][np.diff(w.row_words) > 0]] = True
     opened, closed = _sums(_flags(w, b"([") | _wide(w, 0x9C)), _sums(_flags(w, b")]") | _wide(w, 0x9D))
@@ -199,57 +288,92 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
 _SEGMENT = pa.schema(
     [("id", pa.int64()), ("seg_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_words", pa.int64()), ("label_lang", pa.string()), ("main_lang", pa.string()), ("n_segments", pa.int64())]
 )
+_SPAN = pa.schema([("id", pa.int64()), ("span_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
+
+
+class Labelled:
+    """The words of a chunk with their scores, states on the path, and sentences."""
+
+    def __init__(self, w: Words, scores: Scores):
+        self.words = w
+        self.begins, aside = sentences(w)
+        row = w.row_of()
+        # words aside don't speak, unless the text has no others
+        self.heard = ~aside | (np.bincount(row[~aside], minlength=w.rows)[row] == 0)
+        self.value = scores.words(w) * self.heard[:, None]
+        self.labels = labels_of(w, self.value, self.begins)
+
+    def told(self, lo: int, hi: int, state: int) -> tuple[str | None, float]:
+        """(language, confidence) of some words: none where no word speaks for any."""
+        total = self.value[lo:hi].sum(axis=0)
+        if total.max() <= 0:
+            return None, 0.0
+        odds = np.exp((total - total.max()) / max(1.0, np.sqrt(hi - lo)))
+        return STATES[state], float(odds[state] / odds.sum())
+
+
+def _each(model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Labelled]]:
+    scores = Scores(model.value)
+    for batch in batches:
+        for w in words_of(without_accents(batch.column(1))):
+            yield batch.slice(w.first_row, w.rows), Labelled(w, scores)
 
 
-def _labeller(model):
+def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
+def _segmenter(model):
     """Segments of (id, text, label language), each with its text's main language and number of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model.value)
-        for batch in batches:
-            labels = batch.column(2).to_pylist()
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for w in words_of(without_accents(batch.column(1))):
-                rows = slice(w.first_row, w.first_row + w.rows)
-                yield _segments(w, scores, ids[rows], labels[rows])
+        for batch, x in _each(model, batches):
+            ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            yield _as_batch([row for r, found in enumerate(_segments(x)) for row in _with_main(ids[r], labels[r], found)], _SEGMENT)
 
     return run
 
 
-def _segments(w: Words, scores: Scores, ids: np.ndarray, labels: list[str | None]) -> pa.RecordBatch:
-    k = len(LANGUAGES)
-    begins, aside = sentences(w)
-    first = np.flatnonzero(begins)
-    value = scores.words(w)
-    # words aside don't speak for their sentence, unless the text has no others
-    row = w.row_of()
-    heard = ~aside | (np.bincount(row[~aside], minlength=w.rows)[row] == 0)
-    by_sentence = np.add.reduceat(value * heard[:, None], first, axis=0) if len(first) else np.zeros((0, k))
-    lengths = np.diff(np.append(first, len(w.starts)))
+def _with_main(doc: int, label: str | None, found: list[tuple]) -> Iterator[tuple]:
+    n_by = Counter()
+    for _, lang, _, n in found:
+        n_by[lang] += n if lang else 0
+    main = max(STATES, key=lambda x: n_by[x])
+    for f in found:
+        yield doc, *f, label, main if n_by[main] else None, len(found)
+
+
+def _segments(x: Labelled) -> Iterator[list[tuple[int, str | None, float, int]]]:
+    """Of each row (seg_no, lang, confidence, n_words) of its runs of sentences in one language."""
+    w = x.words
+    first = np.flatnonzero(x.begins)
+    ends = np.append(first, len(w.starts))
+    counts = np.zeros((len(first), len(STATES)))
+    np.add.at(counts, (np.repeat(np.arange(len(first)), np.diff(ends)), x.labels), x.heard + 1e-6)  # a sentence of words aside has their state
+    state = counts.argmax(axis=1) if len(first) else first
     at = np.searchsorted(first, w.row_words)
-    best = by_sentence.argmax(axis=1) if len(first) else np.zeros(0, np.int64)
-    out: list[tuple] = []
     for r in range(w.rows):
         lo, hi = at[r], at[r + 1]
         if lo == hi:
-            out.append((int(ids[r]), 1, None, 0.0, 0, labels[r], None, 1))
+            yield [(1, None, 0.0, 0)]
             continue
-        s = by_sentence[lo:hi]
-        # where all sentences agree the path is constant
-        langs = best[lo:hi] if (best[lo:hi] == best[lo]).all() else path(s)
-        cuts = np.flatnonzero(np.diff(langs)) + 1
-        found, n_by = [], dict.fromkeys(LANGUAGES, 0)
-        for no, (a, b) in enumerate(zip([0, *cuts], [*cuts, hi - lo]), 1):
-            total = s[a:b].sum(axis=0)
-            n = int(lengths[lo + a : lo + b].sum())
-            odds = np.exp((total - total.max()) / max(1.0, np.sqrt(n)))
-            lang = LANGUAGES[langs[a]] if total.max() > 0 else None
-            if lang:
-                n_by[lang] += n
-            found.append((no, lang, float(odds[langs[a]] / odds.sum()) if lang else 0.0, n))
-        main = max(LANGUAGES, key=lambda x: n_by[x])
-        out += [(int(ids[r]), *f, labels[r], main if n_by[main] else None, len(found)) for f in found]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SEGMENT)], schema=_SEGMENT)
+        cuts = lo + np.flatnonzero(np.diff(state[lo:hi])) + 1
+        yield [(no, *x.told(ends[a], ends[b], state[a]), int(ends[b] - ends[a])) for no, (a, b) in enumerate(zip([lo, *cuts], [*cuts, hi]), 1)]
+
+
+def _spanner(model):
+    """Spans of (id, text): runs of words in one state of the path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x in _each(model, batches):
+            rows, w = [], x.words
+            for r, doc in enumerate(batch.column(0).to_pylist()):
+                lo, hi = int(w.row_words[r]), int(w.row_words[r + 1])
+                cuts = [lo, *(lo + 1 + np.flatnonzero(np.diff(x.labels[lo:hi]))).tolist(), hi] if lo < hi else []
+                rows += [(doc, no, *x.told(a, b, x.labels[a]), a - lo, b - a) for no, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), 1)]
+            yield _as_batch(rows, _SPAN)
+
+    return run
 
 
 def training_rows(df: DataFrame, doc_id: str, text: str, label: str) -> pd.DataFrame:
@@ -259,7 +383,7 @@ def training_rows(df: DataFrame, doc_id: str, text: str, label: str) -> pd.DataF
     hash; of those the first by hash are kept.
     """
     named = df.select(F.col(text).alias("text"), code_of(F.col(label)).alias("lang"), F.xxhash64(doc_id).alias("h"))
-    named = named.filter(F.col("lang").isNotNull() & F.char_length("text").between(1, SAMPLE_CHARS))
+    named = named.filter(F.col("lang").isin(*LANGUAGES) & F.char_length("text").between(1, SAMPLE_CHARS))
     taken = F.lit(False)
     for lang, n in named.groupBy("lang").count().collect():  # one row per language
         taken = taken | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 2 * SAMPLE / n) * (1 << 30))))
@@ -267,21 +391,37 @@ def training_rows(df: DataFrame, doc_id: str, text: str, label: str) -> pd.DataF
     return rows.sort_values(["h", "text"]).groupby("lang").head(SAMPLE)
 
 
+def _fitted(df: DataFrame, doc_id: str, text: str, label: str):
+    """Broadcast table of the fit on a sample of the labelled texts."""
+    sample = training_rows(df, doc_id, text, label)
+    return df.sparkSession.sparkContext.broadcast(fit(list(sample["text"]), list(sample["lang"])).table)
+
+
 def segments(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
     """One row per segment: (doc_id, seg_no, lang, confidence, n_words, label_lang, main_lang, n_segments).
 
     A segment is the longest run of whole sentences in one language; seg_no counts from 1.
-    ``lang`` is null where no word speaks for a language, ``label_lang`` where the label
-    names none; ``main_lang`` is the language of most words of the text. Null and empty
-    texts and null ids give no rows. Ids are BIGINT; a row delivered again comes out again.
-    Beside the sample for the fit this is one pass without a shuffle.
+    ``lang`` is one of ``STATES``, null where no word speaks for a language, ``label_lang``
+    null where the label names none; ``main_lang`` is the language of most words of the
+    text. Null and empty texts and null ids give no rows. Ids are BIGINT; a row delivered
+    again comes out again. Beside the sample for the fit this is one pass without a shuffle.
     """
-    sample = training_rows(df, doc_id, text, label)
-    model = df.sparkSession.sparkContext.broadcast(fit(list(sample["text"]), list(sample["lang"])).table)
+    model = _fitted(df, doc_id, text, label)
     known = df.filter(F.col(doc_id).isNotNull() & (F.char_length(F.trim(text)) > 0))
     known = known.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), code_of(F.col(label)).alias("l"))
     schema = "id long, seg_no long, lang string, confidence double, n_words long, label_lang string, main_lang string, n_segments long"
-    return spread(known).mapInArrow(_labeller(model), schema).withColumnRenamed("id", doc_id)
+    return spread(known).mapInArrow(_segmenter(model), schema).withColumnRenamed("id", doc_id)
+
+
+def spans(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
+    """One row per span of words in one language, also inside sentences: (doc_id, span_no, lang, confidence, first_word, n_words).
+
+    span_no counts from 1 and words from 0. Nulls, empty texts and repeated rows as in ``segments``.
+    """
+    model = _fitted(df, doc_id, text, label)
+    known = df.filter(F.col(doc_id).isNotNull() & (F.char_length(F.trim(text)) > 0)).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    schema = "id long, span_no long, lang string, confidence double, first_word long, n_words long"
+    return spread(known).mapInArrow(_spanner(model), schema).withColumnRenamed("id", doc_id)
 
 
 def mislabelled(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.language import mislabelled, segments
+from quern.llm.language import mislabelled, segments, spans
 from quern.llm.leakage import leaked
 from quern.llm.packing import pack, summary
 from quern.llm.pii import masked, personal_items
@@ -72,5 +72,12 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "seg_no", "lang", F.round("confidence", 6).alias("confidence"), "n_words")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p5_found, p5_masked_complaints, p5_masked_symptoms, p6_containers, p6_summary, p7_found, p7_items, p8_found, p8_segments)}
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of words in one language of every document that has several, also inside sentences."""
+    found = spans(table(spark, d, "documents"), "doc_id", "text", "lang")
+    several = found.groupBy("doc_id").agg(F.max("span_no").alias("n_spans"), F.collect_list(F.struct("span_no", "lang", "first_word", "n_words")).alias("s"))
+    return several.filter("n_spans > 1").select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.*")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_source_rates, p5_found, p5_masked_complaints, p5_masked_symptoms, p6_containers, p6_summary, p7_found, p7_items, p8_found, p8_segments, p8_spans)}
 ORACLE: dict[str, str] = {}
