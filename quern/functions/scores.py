@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
 
-from quern.functions.units import MULTIPLIERS, WORDS, Reader
+from quern.functions.units import MULTIPLIERS, SCORE, WORDS, Reader, Unit, canonical
 
 # Words between a value and its full scale, in six languages.
 _OF = ("of", "de", "sur", "von", "sobre", "em", "van", "su")
@@ -24,12 +24,17 @@ class Score:
     scale: Fraction | None = None
     grade: str | None = None
 
+    @property
+    def unit(self) -> Unit | None:
+        """'Out of 5' is a unit of a fifth of the full score."""
+        return Unit(1 / self.scale, SCORE) if self.kind == "scaled" else None
+
     @property
     def milli(self) -> int | None:
         """Thousandths of the full scale, half up; None without a scale or above it."""
-        if self.kind != "scaled" or self.value > self.scale:
+        if self.unit is None or (share := canonical(self.value, self.unit)) > 1:
             return None
-        return int(1000 * self.value / self.scale + Fraction(1, 2))
+        return int(1000 * share + Fraction(1, 2))
 
 
 NONE = Score("none")
@@ -95,6 +100,13 @@ _STATED = re.compile(
 )
 
 
+#: What every text that states a scale holds, for a test before it is read in full.
+MAY_STATE = (
+    r"(?i)\bx\s*/|out\s+of|\b(?:0|1|one|zero|nought)\s+to\s|\b(?:as|is|being)\s+(?:the\s+)?(?:top|best|highest|maximum|perfect|full)"
+    r"|-point\s+scale|scale\s+of|\b(?:maximum|marks?)\s+(?:of|is|are)\s"
+)
+
+
 @lru_cache(maxsize=1 << 14)
 def stated_scale(text: str) -> Fraction | None:
     """The full scale that a text states for its own score; None if none or several."""

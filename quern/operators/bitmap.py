@@ -3,8 +3,9 @@
 The bitmap has a false positive for some hashes outside the set and never a false
 negative, so a join must follow. It has about ``PER_HASH`` bits a hash, by an approximate
 count of the distinct ones, between ``LEAST`` and ``MOST`` bits: that bounds what is
-broadcast. A set beyond it fills the bitmap more and more, and less is dropped before the
-join; results don't depend on it.
+broadcast. Each hash sets two of them, so of other hashes one in 250 passes. A set beyond
+the bound fills the bitmap more and more, and less is dropped before the join; results
+don't depend on it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_HASH = 8
+PER_HASH = 32
+#: The second place of a hash lies in its upper bits.
+SECOND = 32
 #: Logarithms of the fewest and most bits: 128 KB to 32 MB.
 LEAST, MOST = 20, 28
 
@@ -27,9 +30,10 @@ def bitmap(df: DataFrame, column: str) -> Broadcast:
     """Broadcast bitmap of the BIGINT hashes in ``column``; nulls are left out."""
     hashes = df.select(F.col(column).alias("h")).filter("h IS NOT NULL")
     size = _log_bits(hashes.agg(F.approx_count_distinct("h", 0.1).alias("n")).first()["n"])
-    low = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
+    places = hashes.select(F.explode(F.array("h", F.shiftright("h", SECOND))).alias("p"))
+    low = F.col("p").bitwiseAND(F.lit((1 << size) - 1))
     words = (
-        hashes.groupBy(F.shiftright(low, 6).cast("int").alias("word"))
+        places.groupBy(F.shiftright(low, 6).cast("int").alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
         .toArrow()
     )
@@ -41,13 +45,19 @@ def bitmap(df: DataFrame, column: str) -> Broadcast:
 def membership(hashes: np.ndarray) -> np.ndarray:
     """The bitmap of an array of hashes."""
     size = _log_bits(len(hashes))
-    low = hashes.view(np.int64) & np.int64((1 << size) - 1)
     bits = np.zeros(1 << (size - 6), np.int64)
-    np.bitwise_or.at(bits, low >> 6, np.int64(1) << (low & 63))
+    for shift in (0, SECOND):
+        low = (hashes.view(np.int64) >> shift) & np.int64((1 << size) - 1)
+        np.bitwise_or.at(bits, low >> 6, np.int64(1) << (low & 63))
     return bits
 
 
 def member(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be in the set."""
-    low = hashes.view(np.int64) & np.int64(64 * len(bits) - 1)
-    return (bits[low >> 6] >> (low & 63)) & 1 == 1
+    mask, h = np.int64(64 * len(bits) - 1), hashes.view(np.int64)
+    low = h & mask
+    out = (bits[low >> 6] >> (low & 63)) & 1 == 1
+    some = np.flatnonzero(out)  # few, as a rule
+    low = (h[some] >> SECOND) & mask
+    out[some] = (bits[low >> 6] >> (low & 63)) & 1 == 1
+    return out

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.scores import parse_score, stated_scale
+from quern.functions.scores import MAY_STATE, Score, parse_score, stated_scale
 from quern.functions.units import DIMENSIONS, canonical, quantities, unit_of
 from quern.tables import fresh
 
 #: A source's habit decides a bare number only if it covers this share of its other scores.
 HABIT_SHARE = Fraction(3, 5)
+#: Parts of a source's rows that are joined with copies of its habit.
+PARTS = 16
 
 _PARSED = T.StructType(
     [
@@ -25,26 +28,29 @@ _PARSED = T.StructType(
         T.StructField("milli", T.LongType()),
     ]
 )
+_NOTHING = ("none", None, None, None, None)
 
 
-@F.pandas_udf(_PARSED)
-def _parse(score: pd.Series, text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for raw, words in zip(score, text):
-        s = parse_score(raw) if isinstance(raw, str) else None
-        if s is None or s.kind == "none":
-            rows.append(("none", None, None, None, None))
-            continue
-        if s.kind == "bare" and isinstance(words, str) and (scale := stated_scale(words)):
-            s = type(s)("scaled", s.value, scale)
-        rows.append((s.kind, None if s.value is None else float(s.value), None if s.scale is None else float(s.scale), s.grade, s.milli))
-    out = pd.DataFrame(rows, columns=["kind", "value", "scale", "grade", "milli"])
-    return out.astype({"milli": "Int64"})
+def _told(raw: str, text: str | None = None) -> tuple:
+    s = parse_score(raw)
+    if s.kind == "none":
+        return _NOTHING
+    if s.kind == "bare" and text is not None and (scale := stated_scale(text)):
+        s = Score("scaled", s.value, scale)
+    return s.kind, None if s.value is None else float(s.value), None if s.scale is None else float(s.scale), s.grade, s.milli
 
 
-def _bare(score: Column) -> Column:
-    """A number with nothing beside it, so that the text or the source must tell its scale."""
-    return score.rlike(r"^[\s]*\d+([.,]\d+)?[½¼¾⅓⅔⅛]?[\s]*$")
+@F.pandas_udf(_PARSED)
+def _parse(score: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """What each score says; a notation is parsed once a batch, and again with each text where it is bare."""
+    code, notations = pd.factorize(score)
+    told = [*[_told(x) for x in notations], _NOTHING]  # the last for nulls, whose code is -1
+    bare = np.array([x[0] == "bare" for x in told])
+    code = np.where(code < 0, len(notations), code)
+    asked = np.flatnonzero(bare[code] & text.notna().to_numpy())
+    told += [_told(notations[code[i]], text.iloc[i]) for i in asked.tolist()]
+    code[asked] = len(notations) + 1 + np.arange(len(asked))
+    return pd.DataFrame(told, columns=["kind", "value", "scale", "grade", "milli"]).astype({"milli": "Int64"}).iloc[code]
 
 
 def source_scales(df: DataFrame, score: str, source: str) -> DataFrame:
@@ -55,7 +61,7 @@ def source_scales(df: DataFrame, score: str, source: str) -> DataFrame:
     """
     told = (
         df.select(source, score)
-        .filter(F.col(source).isNotNull() & F.col(score).isNotNull() & ~_bare(F.col(score)))
+        .filter(F.col(source).isNotNull() & F.col(score).isNotNull())
         .groupBy(source, score)  # value-frequency compression: each notation is parsed once a source
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_s", _parse(F.col(score), F.lit(None).cast("string")))
@@ -79,13 +85,15 @@ def score_milli(df: DataFrame, score: str, text: str, source: str, grades: DataF
     that name, which is replaced; of a grade listed twice any worth is taken.
     """
     kept = [c for c in df.columns if c != "score_milli"]
-    s, key, habit, grade, pct = fresh(df.columns, "_s", "_source", "_habit", "_grade", "_pct")
-    parsed = df.withColumn(s, _parse(F.col(score), F.when(_bare(F.col(score)), F.col(text))))
+    s, key, habit, grade, pct, part, mine = fresh(df.columns, "_s", "_source", "_habit", "_grade", "_pct", "_part", "_mine")
+    parsed = df.withColumn(s, _parse(F.col(score), F.when(F.col(text).rlike(MAY_STATE), F.col(text))))
     habits = source_scales(df, score, source).select(F.col(source).alias(key), F.col("habit").alias(habit))
     worth = grades.select(F.col("grade").alias(grade), F.col("pct").alias(pct)).dropDuplicates([grade])
-    # only rows that need the habit carry its key; the others mustn't meet in one task
+    # only rows that need the habit carry its key, in several parts a source: neither they nor the others may meet in one task
     needs = (F.col(f"{s}.kind") == "bare") & F.col(source).isNotNull()
-    needy = parsed.filter(needs).join(habits, F.col(source) == F.col(key), "left")
+    habits = habits.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    needy = parsed.filter(needs).withColumn(mine, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
+    needy = needy.join(habits, (F.col(source) == F.col(key)) & (F.col(mine) == F.col(part)), "left").drop(mine, part)
     rest = parsed.filter(~needs).withColumns({key: F.lit(None).cast("string"), habit: F.lit(None).cast("double")})
     both = needy.unionByName(rest).join(worth, F.col(f"{s}.grade") == F.col(grade), "left")
     by_habit = F.when(F.col(f"{s}.value") <= F.col(habit), F.floor(1000 * F.col(f"{s}.value") / F.col(habit) + F.lit(0.5 + 1e-9)))

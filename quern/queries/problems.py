@@ -35,6 +35,15 @@ def p2_speeds(spark: SparkSession, d: str) -> DataFrame:
     return found.filter(F.col("dims") == speed).select("complaint_id", F.round("value", 4).alias("metres_a_second")).distinct()
 
 
+def p2_quantities(spark: SparkSession, d: str) -> DataFrame:
+    """Pressures, and lengths of a thousand miles or more, named in complaints, in coherent units."""
+    found = text_quantities(table(spark, d, "complaints").select("complaint_id", "summary"), "summary")
+    of = {"pressure": (-1, 1, -2), "length": (1, 0, 0)}
+    unit = F.coalesce(*[F.when(F.col("dims") == F.array(*[F.lit(x) for x in (*v, *[0] * (9 - len(v)))]), F.lit(k)) for k, v in of.items()])
+    named = found.withColumn("unit", unit).filter("unit IS NOT NULL AND (unit <> 'length' OR value >= 1609344)")
+    return named.select("complaint_id", "unit", F.round("value", 2).alias("canonical")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Movie ids that hold at least 2 % of all reviews."""
     reviews = table(spark, d, "reviews").select("id", "originalScore")
@@ -78,12 +87,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split.select("image_id", "pos", F.col("value").alias("damage")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_source_scales, p2_speeds, p3_found, p3_movies, p3_mean_scores, p3_percentiles, p4_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_source_scales, p2_speeds, p2_quantities, p3_found, p3_movies, p3_mean_scores, p3_percentiles, p4_found)}
 
 ORACLE = {
     "p2_speeds": """
-        SELECT DISTINCT complaint_id, round(CAST(x AS DOUBLE) * 0.44704, 4) AS metres_a_second
-        FROM (SELECT complaint_id, unnest(regexp_extract_all(summary, '(?i)\\b(\\d+) miles per hour\\b', 1)) AS x FROM complaints)""",
+        SELECT DISTINCT complaint_id, round(CAST(x AS DOUBLE) * f, 4) AS metres_a_second
+        FROM (SELECT complaint_id, f, unnest(regexp_extract_all(summary, '(?i)\\b(\\d+)' || unit || '\\b', 1)) AS x FROM complaints,
+            (VALUES ('\\s*(?:miles (?:per|an) hour|mph)', 0.44704), ('\\s*(?:km/h|kph|kmh|kilomet(?:re|er)s (?:per|an) hour)', 1 / 3.6), ('\\s*(?:m/s|met(?:re|er)s per second)', 1.0)) u(unit, f))""",
+    "p2_quantities": """
+        SELECT DISTINCT complaint_id, unit, round(CAST(replace(x, ',', '') AS DOUBLE) * f, 2) AS canonical
+        FROM (SELECT complaint_id, unit, f, unnest(regexp_extract_all(summary, '(?i)\\b(\\d+(?:,\\d{3})*)\\s*' || word || '\\b', 1)) AS x FROM complaints,
+            (VALUES ('pressure', 'psi', 6894.757293168362), ('length', 'thousand miles', 1609344.0), ('length', 'miles', 1609.344)) u(unit, word, f))
+        WHERE unit <> 'length' OR CAST(replace(x, ',', '') AS DOUBLE) * f >= 1609344""",
     "p3_found": """
         SELECT id FROM reviews WHERE id IS NOT NULL GROUP BY id
         HAVING count(*) * 50 >= (SELECT count(*) FROM reviews)""",
