@@ -4,15 +4,19 @@ Two sources of evidence. A near-copy that goes on where a text stops: a text tha
 of its length is like the beginning of the longer one, not like the whole of it. So min-hash
 bands are taken over beginnings of stated numbers of words, of the text as far as it goes and
 of every longer text at all of these numbers, and over whole texts. Each text meets every
-longer one of its buckets, and pairs are aligned at the shorter text's end: the longer one up
-to there must be a near-copy. For texts without such a copy, the closing words: how often,
-over all texts, the same last words stand at the end of a sentence, go on, or close a text.
+longer one of its buckets that has the shorter one's last whole words, about where it ends,
+and pairs are aligned there: the longer one up to there must be a near-copy. Beginnings of up to eight shingles are only near-copies if they
+are equal, so for these the bucket is the hash of the text itself, met where a longer one has
+the same words so far, and what follows there is counted instead of pairs. For texts without
+such a copy, the closing words: how often, over all texts, the same last words stand at the
+end of a sentence, go on, or close a text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.bytewords import Words, gram_rows, mix, words_of
+from quern.functions.bytewords import _LOWER, Words, _powers, gram_rows, grams, mix, words_of
 from quern.operators.bitmap import bitmap, member
 from quern.staging import stage
 from quern.tables import spread
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Nine bands of three.
-BANDS, ROWS = 9, 3
-#: Numbers of words at which beginnings are compared: the first, and how much more each next one has.
-FIRST_LEVEL, LEVEL_STEP = SHINGLE, 1.25
+#: Nine bands of three for whole texts: a pair of similarity 0.8 meets with probability 0.998; four for beginnings: 0.943, and 0.995 from 0.9 on.
+BANDS, LEVEL_BANDS, ROWS = 9, 4, 3
+#: Numbers of words at which beginnings are compared: the first, with nine shingles, and how much more each next one has.
+FIRST_LEVEL, LEVEL_STEP = SHINGLE + 8, 1.25
 #: Lengths of the closing word runs; a run must be seen this often to decide, and the longest that is decides.
 LENGTHS, LEAST = (1, 2, 3, 4, 6, 8), 4
 ORDERS = len(LENGTHS)
@@ -44,11 +48,13 @@ BROADCAST_PAIRS = 1 << 20
 HOT_ROWS, HOT_SHARE = 4096, 1 << 13
 #: A bucket of more texts is met in blocks of about this many, each a task's key of its own.
 BLOCK = 4096
+
 #: Allows any difference: of a text whose words the profile may take apart otherwise than ``aligned_end``.
 ANY_ROOM = 1 << 24
 
 _rng = np.random.default_rng(20)
-_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_A, _B = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
+_A |= np.uint32(1)
 _BEGIN, _STEP = np.uint64(0x5BF03635F0A31E4D), np.uint64(0x9E3779B97F4A7C15)
 
 STOPPED, OPEN, MARKED, BROKEN = 0, 1, 2, 3
@@ -67,6 +73,19 @@ def closing_kind(trail: str) -> int:
     return STOPPED if re.search(r"[.!?。！？]", trail) else OPEN
 
 
+def _ends(w: Words, rows: np.ndarray) -> np.ndarray:
+    """What stands behind the last word of each of some rows that have one; the plain cases without making strings."""
+    out = np.zeros(len(rows), np.int32)
+    lo, hi = w.ends[w.row_words[rows + 1] - 1], w.row_bytes[rows + 1]
+    if not len(rows):
+        return out
+    one = (hi - lo == 1) & _STOP[w.data[np.maximum(hi, 1) - 1]]
+    out[hi == lo] = OPEN
+    for i in np.flatnonzero((hi > lo) & ~one).tolist():
+        out[i] = closing_kind(w.data[lo[i] : hi[i]].tobytes().decode("utf-8", "replace"))
+    return out
+
+
 def _gap_classes(w: Words) -> np.ndarray:
     """Of each word: 1 it ends a sentence, 2 another word follows in it, 4 it ends the text without a stop, 8 before a cut mark, 0 none."""
     n = len(w.starts)
@@ -86,9 +105,8 @@ def _gap_classes(w: Words) -> np.ndarray:
     stopped = (stops[to] > stops[w.ends]) & (last | (to - w.ends > 1))
     closed = closes[to] > closes[w.ends]
     out[:] = np.where(stopped, 1, np.where(last, 4, np.where(closed, 0, 2)))
-    for i in np.flatnonzero(last & stopped):  # a cut mark isn't a stop
-        if closing_kind(w.data[w.ends[i] : row_end[i]].tobytes().decode("utf-8", "replace")) != STOPPED:
-            out[i] = 8
+    some = np.flatnonzero(last & stopped)
+    out[some[_ends(w, w.row_of()[some]) != STOPPED]] = 8  # a cut mark isn't a stop
     return out
 
 
@@ -119,6 +137,32 @@ def _runs(line: np.ndarray, place: np.ndarray, wanted: Callable[[np.ndarray], np
                 yield out, at
 
 
+def _so_far(w: Words, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash of all words of its text up to there) of each byte in the words that are ``wanted``."""
+    n = np.where(_number(w) < FIRST_LEVEL, w.ends - w.starts, 0)  # no words beyond are wanted
+    word = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w.starts, n)
+    power, inverse = _powers(len(word))
+    with np.errstate(over="ignore"):
+        sums = np.cumsum((_LOWER[w.data[at]].astype(np.uint64) + np.where(at == w.starts[word], np.uint64(257), np.uint64(1))) * power[: len(word)])
+        first = np.concatenate([[0], np.cumsum(n)])[w.row_words[:-1]]  # of each row the first of these bytes
+        before = np.where(first > 0, sums[np.maximum(first, 1) - 1], np.uint64(0)) if len(sums) else np.zeros(w.rows, np.uint64)
+        some = np.flatnonzero(wanted[word])
+        row = w.row_of()[word[some]]
+        return at[some], mix((sums[some] - before[row]) * inverse[first[row]] + (some - first[row]).astype(np.uint64))
+
+
+def _number(w: Words) -> np.ndarray:
+    """The number of words before each in its text."""
+    return np.arange(len(w.starts)) - np.repeat(w.row_words[:-1], np.diff(w.row_words))
+
+
+def _short_words(w: Words) -> np.ndarray:
+    """Which words may be the last, whole or cut, of a text that is met by the hash of all it has."""
+    no = _number(w)
+    return (no >= SHINGLE) & (no < FIRST_LEVEL)
+
+
 def _levels(most: int) -> np.ndarray:
     """The numbers of words of the beginnings of a text of ``most`` words."""
     out, n = [], FIRST_LEVEL
@@ -151,17 +195,20 @@ class Beginnings:
     """Buckets and sketches of every beginning of every text of five words or more, and of its whole.
 
     One entry per text and level, then one per text as a whole: ``row``, ``level`` (its
-    number of words, 0 for the whole), ``keys`` (x BANDS), and ``sketch`` (x 2), 128 bits of
+    number of words, 0 for the whole), ``own`` (whether it is one of a shorter copy: the
+    whole, and the last level without the last word), ``keys`` (x BANDS, of a level only
+    ``LEVEL_BANDS`` live), and ``sketch`` (x 2), 128 bits of
     which each tells whether an odd number of the distinct shingles falls on it; two sketches
     differ in at most as many bits as the sets of shingles in elements. All minima and sums
     of a level are those of the one before and of the words between.
     """
 
     def __init__(self, w: Words):
+        self.words = w
         shingles, counts = gram_rows(w, SHINGLE)
         n_words = np.diff(w.row_words)
         some = np.flatnonzero(counts)
-        levels = _levels(int(n_words.max()) if w.rows else 0)
+        self.levels = levels = _levels(int(n_words.max()) if w.rows else 0)
         per_row = np.searchsorted(levels, n_words[some], "right")
         last = np.where(per_row > 0, levels[per_row - 1] if len(levels) else 0, 0)
         parts = per_row + (last < n_words[some])  # the words behind the last level are a part of their own
@@ -185,16 +232,22 @@ class Beginnings:
         pick = np.concatenate([prefix, whole])
         self.own = np.concatenate([at[prefix] == (np.searchsorted(levels, n_words[self.row[: len(prefix)]] - 1, "right") - 1), np.ones(len(some), bool)])
         self.shingles = np.where(self.level > 0, self.level, n_words[self.row]) - SHINGLE + 1
+        self.live = (np.arange(BANDS) < LEVEL_BANDS) | (self.level == 0)[:, None]
         self.keys, self.sketch = np.zeros((len(pick), BANDS), np.uint64), np.zeros((len(pick), 2), np.uint64)
         if not size:
             return
+        halves = (shingles >> np.uint64(32)).astype(np.uint32)
         with np.errstate(over="ignore"):
+            begins = first[base]
             for b in range(BANDS):
-                key = mix(self.level.astype(np.uint64) * np.uint64(BANDS) + np.uint64(b + 1))
+                some_keys = slice(0 if b < LEVEL_BANDS else len(prefix), None)
+                key = mix(self.level[some_keys].astype(np.uint64) * np.uint64(BANDS) + np.uint64(b + 1))
                 for r in range(ROWS):
-                    least = upto(np.minimum.reduceat((shingles * _A[b * ROWS + r]) >> np.uint64(32), first), np.minimum)[pick]
-                    key = mix(key * _STEP + least)
-                self.keys[:, b] = key
+                    k = b * ROWS + r
+                    halved = halves * _A[k] + _B[k]
+                    least = upto(np.minimum.reduceat(halved, first), np.minimum)[pick] if b < LEVEL_BANDS else np.minimum.reduceat(halved, begins)
+                    key = mix(key * _STEP + least.astype(np.uint64))
+                self.keys[some_keys, b] = key
         row = np.repeat(np.arange(len(some), dtype=np.uint64), counts[some])  # rows of five words or more in a chunk: under 2^20
         keys = (row << np.uint64(44)) | (shingles >> np.uint64(20))
         order = np.argsort(keys, kind="stable")
@@ -204,39 +257,77 @@ class Beginnings:
         for k in range(2):
             self.sketch[:, k] = upto(np.bitwise_xor.reduceat(np.where(new & (half == k), bit, np.uint64(0)), first), np.bitwise_xor)[pick]
 
+    def leads(self) -> np.ndarray:
+        """Of each word the hash of the ``SHINGLE`` - 1 words before it and its first letter; those of the first words of a text mean nothing."""
+        w = self.words
+        out = np.zeros(len(w.starts), np.uint64)
+        lead = grams(w.hashes, SHINGLE - 1)[: max(0, len(out) - SHINGLE + 1)]
+        with np.errstate(over="ignore"):
+            out[SHINGLE - 1 :] = mix(lead * _STEP + _LOWER[w.data[w.starts[SHINGLE - 1 :]]])
+        return out
+
 
-_PROFILE = "row_id string, text_key long, n_words int, kind int, runs array<long>, bands array<long>"
+_PROFILE = "row_id string, text_key long, n_words int, kind int, runs array<long>, n_bytes int, lead long, bands array<long>, ends array<long>, levels array<int>, rooms array<int>, s0 array<long>, s1 array<long>"
+
+
+def _own_buckets(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
+    """Of each text as a shorter copy: (lead, number of ends, bands, ends, number of entries, levels, rooms, sketches) by chunks of texts.
+
+    A text's level, if it has one, comes before its whole, so its first ``LEVEL_BANDS`` ends are of that.
+    """
+    out = []
+    for w in words_of(column, digits_alike=True):
+        b = Beginnings(w)
+        lead = b.leads()[np.maximum(w.row_words[1:] - 1, 0)] if len(w.starts) else np.zeros(w.rows, np.uint64)
+        mine = np.flatnonzero(b.own)
+        mine = mine[np.argsort(b.row[mine], kind="stable")]
+        entry, band = np.nonzero(b.live[mine])
+        entry = mine[entry]
+        rooms = np.where(_odd(w)[b.row[mine]], ANY_ROOM, b.shingles[mine])
+        n_entries, n_ends = (np.bincount(b.row[x], minlength=w.rows) for x in (mine, entry))
+        out.append((lead, n_ends, b.keys[entry, band], mix(b.keys[entry, band] ^ lead[b.row[entry]]), n_entries, b.level[mine], rooms, b.sketch[mine]))
+    return out
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each (id, key, text) without a stop: what stands at its end, its closing runs, and its buckets as a shorter copy."""
-    names = ["row_id", "text_key", "n_words", "kind", "runs", "bands"]
+    names = ["row_id", "text_key", "n_words", "kind", "runs", "n_bytes", "lead", "bands", "ends", "levels", "rooms", "s0", "s1"]
 
     def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.reshape(-1).view(np.int64)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
     for batch in batches:
         for w in words_of(batch.column(2), digits_alike=True):
             n_words = np.diff(w.row_words)
-            last, row_end = w.row_words[1:] - 1, w.row_bytes[1:]
+            last = w.row_words[1:] - 1
             kinds = np.zeros(w.rows, np.int32)
-            for i in np.flatnonzero(n_words):
-                kinds[i] = closing_kind(w.data[w.ends[last[i]] : row_end[i]].tobytes().decode("utf-8", "replace"))
+            kinds[n_words > 0] = _ends(w, np.flatnonzero(n_words))
             open_rows = np.flatnonzero(kinds)
-            tails = np.zeros((len(open_rows), ORDERS + 2), np.uint64)
+            tails = np.zeros((len(open_rows), ORDERS + 3), np.uint64)
             line, place = _line(w)
             ends = place[last[open_rows]]
             for m, (run, _) in enumerate(_runs(line, ends)):
                 tails[:, m] = run
             for m, (run, _) in zip((0, 1), _runs(line, ends - 1)):
                 tails[:, ORDERS + m] = run
-            b = Beginnings(w)
-            mine = np.flatnonzero(b.own & (kinds[b.row] > 0))
-            mine = mine[np.argsort(b.row[mine], kind="stable")]
-            n_bands = BANDS * np.bincount(b.row[mine], minlength=w.rows)[open_rows]
+            short = np.zeros(len(w.starts), bool)
+            short[last[open_rows]] = True
+            at, so_far = _so_far(w, short & _short_words(w))
+            is_end = np.isin(at, w.ends[last[open_rows]] - 1)
+            has = np.isin(w.ends[last[open_rows]] - 1, at[is_end])
+            tails[has, ORDERS + 2] = so_far[is_end]
+            used = np.ones(tails.shape, bool)
+            used[~has, ORDERS + 2] = False
+            own = _own_buckets(batch.column(2).slice(w.first_row, w.rows).take(pa.array(open_rows)))
+            if not own:
+                continue
+            lead, n_ends, bands, ends, n_entries, levels, rooms, sketch = (np.concatenate(x) for x in zip(*own))
             ids, keys = (batch.column(k).slice(w.first_row, w.rows).take(pa.array(open_rows)) for k in (0, 1))
             columns = [ids.cast(pa.string()), keys, pa.array(n_words[open_rows].astype(np.int32)), pa.array(kinds[open_rows])]
-            yield pa.RecordBatch.from_arrays([*columns, lists(tails, np.full(len(open_rows), ORDERS + 2)), lists(b.keys[mine], n_bands)], names=names)
+            long = lambda x: np.ascontiguousarray(x).view(np.int64)
+            columns += [lists(long(tails[used]), used.sum(axis=1)), pa.array(np.diff(w.row_bytes)[open_rows].astype(np.int32)), pa.array(long(lead)), lists(long(bands), n_ends), lists(long(ends), n_ends)]
+            columns += [lists(x.astype(np.int32), n_entries) for x in (levels, rooms)] + [lists(long(sketch[:, k]), n_entries) for k in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 _KINDS = ("stops", "goes_on", "closes", "marked")
@@ -259,11 +350,17 @@ def _counter(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             for w in words_of(batch.column(0), digits_alike=True):
                 kinds = _gap_classes(w)
                 some = np.flatnonzero(kinds)
-                kinds = np.log2(kinds[some]).astype(np.int64)
+                ways = np.log2(kinds[some]).astype(np.int64)
                 line, place = _line(w)
-                for hashes, at in _runs(line, place[some], lambda h: member(bits.value, h)):
+                found = [(hashes, ways[at]) for hashes, at in _runs(line, place[some], lambda h: member(bits.value, h))]
+                at, so_far = _so_far(w, _short_words(w))
+                ok = np.flatnonzero(member(bits.value, so_far)) if len(so_far) else at
+                word = np.searchsorted(w.starts, at[ok], "right") - 1
+                way = np.where(at[ok] + 1 < w.ends[word], 2, kinds[word])  # inside a word the text goes on
+                found.append((so_far[ok][way > 0], np.log2(way[way > 0]).astype(np.int64)))
+                for hashes, way in found:
                     code, keys = pd.factorize(hashes)
-                    parts.append((keys, np.bincount(code * 4 + kinds[at], minlength=4 * len(keys)).reshape(-1, 4)))
+                    parts.append((keys, np.bincount(code * 4 + way, minlength=4 * len(keys)).reshape(-1, 4)))
             if sum(len(p[0]) for p in parts) > 1 << 20:
                 parts = [merge(parts)]
                 if len(parts[0][0]) > 1 << 19:
@@ -294,6 +391,11 @@ def _verdict(kind: Column, n_words: Column, count: Callable[[str, int], Column])
 _WORDS = re.compile(r"[^\W_]+")
 
 
+@lru_cache(maxsize=1 << 10)
+def _words(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
+
+
 def aligned_end(short: str, long: str) -> bool | None:
     """Whether the longer copy goes on where the shorter one stops; None if it isn't a copy.
 
@@ -301,12 +403,13 @@ def aligned_end(short: str, long: str) -> bool | None:
     similarity ``SIMILARITY`` with the shorter one; its last word, that may be cut, is left
     out. Of several places with the same last words the one of like length counts.
     """
-    a, b = list(_WORDS.finditer(short.lower())), list(_WORDS.finditer(long.lower()))
-    aw, bw = [m.group() for m in a], [m.group() for m in b]
+    aw, low = _words(short), long.lower()
+    if len(aw) < SHINGLE or not all(word in low for word in aw[-SHINGLE:-1]):
+        return None
+    b = list(_WORDS.finditer(low))
+    bw = [m.group() for m in b]
     shingles = lambda w: {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
     near = lambda x, y: bool(x and y) and len(x & y) >= SIMILARITY * len(x | y)
-    if len(aw) < SHINGLE:
-        return None
     lead = aw[-SHINGLE:-1]
     places = [i for i in range(len(bw) - len(lead)) if bw[i : i + len(lead)] == lead]
     if not places:
@@ -321,36 +424,68 @@ def aligned_end(short: str, long: str) -> bool | None:
     return not re.search(r"[.!?…]", long[b[at].end() : b[at + 1].start()])
 
 
-_ENTRY = "text_key long, n_bytes int, short boolean, bucket long"
-_SKETCHED = _ENTRY + ", level int, room int, s0 long, s1 long"
+_ENTRY = "text_key long, n_bytes int, bucket long, level int, room int, s0 long, s1 long"
+_ENTRY_NAMES = [x.split()[0] for x in _ENTRY.split(", ")]
+
 
+def _shorts(buckets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row per bucket of a shorter text, from its (text_key, n_bytes, ends, levels, rooms, s0, s1), that the bitmap may hold."""
 
-def _entries(bits, sketched: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each (text_key, text) a row per bucket that the bitmap may hold; equal texts of a batch count once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_ends, n_entries = (batch.column(k).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            ends = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            ok = np.flatnonzero(member(buckets.value, ends)) if len(ends) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(n_ends)), n_ends)[ok]
+            no = ok - (np.cumsum(n_ends) - n_ends)[row]
+            entry = pa.array((np.cumsum(n_entries) - n_entries)[row] + ((n_entries[row] > 1) & (no >= LEVEL_BANDS)))
+            columns = [batch.column(k).take(pa.array(row)) for k in (0, 1)] + [pa.array(ends[ok])] + [batch.column(k).flatten().take(entry) for k in (3, 4, 5, 6)]
+            yield pa.RecordBatch.from_arrays(columns, names=_ENTRY_NAMES)
+
+    return run
+
+
+def _longs(leads, bands, ends, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each (text_key, text) a row per bucket and end of some shorter text that the bitmaps may hold; equal texts of a batch count once.
+
+    A text is in a bucket by every place with some text's last whole words where a near-copy
+    of that level may end: up to there it has between four fifths and five fourths of the
+    shingles of the other. Where a text without a stop ends itself, its own buckets matter
+    only if they are ``shared`` with another such text, which may be cut earlier in the word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
-            batch = batch.take(pa.array(np.sort(first)))
+            _, once = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            batch = batch.take(pa.array(np.sort(once)))
             for w in words_of(batch.column(1), digits_alike=True):
                 b = Beginnings(w)
-                entry, band = np.nonzero(member(bits.value, b.keys.reshape(-1)).reshape(b.keys.shape))
-                row = b.row[entry]
-                may_end = np.zeros(w.rows, bool)
-                for i in np.unique(row[b.own[entry]]).tolist():
-                    may_end[i] = closing_kind(w.data[w.ends[w.row_words[i + 1] - 1] : w.row_bytes[i + 1]].tobytes().decode("utf-8", "replace")) != STOPPED
-                keys = batch.column(0).slice(w.first_row, w.rows)
-                columns = {
-                    "text_key": keys.take(pa.array(row)),
-                    "n_bytes": pa.array(np.diff(w.row_bytes).astype(np.int32)[row]),
-                    "short": pa.array(b.own[entry] & may_end[row]),
-                    "bucket": pa.array(b.keys[entry, band].view(np.int64)),
-                }
-                if sketched:
-                    columns["level"] = pa.array(b.level[entry].astype(np.int32))
-                    columns["room"] = pa.array(np.where(_odd(w)[row], ANY_ROOM, b.shingles[entry]).astype(np.int32))
-                    columns |= {f"s{k}": pa.array(b.sketch[entry, k].view(np.int64)) for k in range(2)}
-                yield pa.RecordBatch.from_pydict(columns)
+                lead, last = b.leads(), w.row_words[1:] - 1
+                entry, band = np.nonzero(b.live)
+                known = np.flatnonzero(member(bands.value, b.keys[entry, band])) if len(entry) else entry
+                entry, band = entry[known], band[known]
+                row, level = b.row[entry], b.level[entry]
+                # words before the place: of a level of L words the shorter text has L to 5/4 L without its last
+                lo = np.where(level > 0, np.ceil((level - SHINGLE + 1) * SIMILARITY).astype(np.int64), 0) + SHINGLE - 1
+                hi = np.where(level > 0, ((level + 1) * LEVEL_STEP - SHINGLE + 1) // SIMILARITY, len(w.starts)).astype(np.int64) + SHINGLE - 1
+                known = np.flatnonzero(member(leads.value, lead)) if len(lead) else np.zeros(0, np.int64)
+                a = np.searchsorted(known, w.row_words[row] + lo)
+                n = np.maximum(np.searchsorted(known, np.minimum(w.row_words[row] + hi, last[row]), "right") - a, 0)
+                at = known[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - a, n)] if n.sum() else np.zeros(0, np.int64)
+                which = np.repeat(np.arange(len(entry)), n)
+                bucket = mix(b.keys[entry, band][which] ^ lead[at])
+                ok = np.flatnonzero(member(ends.value, bucket)) if len(bucket) else which
+                at_end = np.flatnonzero(at[ok] == last[row[which[ok]]])
+                if len(at_end):
+                    asked, back = np.unique(row[which[ok[at_end]]], return_inverse=True)
+                    alone = (_ends(w, asked) != STOPPED)[back] & b.own[entry[which[ok[at_end]]]] & ~member(shared.value, bucket[ok[at_end]])
+                    ok = np.delete(ok, at_end[alone])
+                e = entry[which[ok]]
+                columns = [
+                    batch.column(0).slice(w.first_row, w.rows).take(pa.array(b.row[e])), pa.array(np.diff(w.row_bytes).astype(np.int32)[b.row[e]]), pa.array(bucket[ok].view(np.int64)),
+                    pa.array(b.level[e].astype(np.int32)), pa.array(np.where(_odd(w)[b.row[e]], ANY_ROOM, b.shingles[e]).astype(np.int32)), *[pa.array(b.sketch[e, k].view(np.int64)) for k in range(2)],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=_ENTRY_NAMES)
 
     return run
 
@@ -358,8 +493,8 @@ def _entries(bits, sketched: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def _copies(profile: DataFrame, rows: DataFrame) -> DataFrame:
     """(text_key, goes_on) for texts without a stop whose end aligns with a longer near-copy.
 
-    Only buckets that hold such a text and a longer one matter, so entries are sifted by the
-    bitmaps of these. There each open text meets every longer one; exact copies count once,
+    Only buckets that hold such a text matter, so entries are sifted by the bitmaps of these
+    and of their ends. There each open text meets every longer one; exact copies count once,
     and a bucket of more than ``BLOCK`` rows is met in blocks, so no task has more than the
     open texts of a bucket against one block. Whole texts of similarity s differ in at most
     (1 - s) / (1 + s) of the shingles of both; beginnings of texts that do so up to the end
@@ -368,17 +503,17 @@ def _copies(profile: DataFrame, rows: DataFrame) -> DataFrame:
     sketches differ in more bits is dropped before its texts are fetched, which loses none.
     """
     texts = rows.select("text_key", "text").filter(F.col("text").isNotNull())
-    bits = bitmap(profile.select(F.explode("bands").alias("bucket")), "bucket")
-    met = texts.mapInArrow(_entries(bits, False), _ENTRY)
-    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("most"), F.min(F.when(F.col("short"), F.col("n_bytes"))).alias("least"))
-    sizes = stage(sizes.filter(F.col("least") < F.col("most")).select("bucket", "n"), "buckets")
-    hot = sizes.filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    leads, bands = bitmap(profile.filter(F.size("bands") > 0), "lead"), bitmap(profile.select(F.explode("bands").alias("bucket")), "bucket")
+    ends = profile.select("text_key", F.explode("ends").alias("bucket"))
+    shared = ends.groupBy("bucket").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a < b")
+    longs = stage(texts.mapInArrow(_longs(leads, bands, bitmap(ends, "bucket"), bitmap(stage(shared.select("bucket"), "shared"), "bucket")), _ENTRY), "longs")
+    hot = stage(longs.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot_buckets")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_PAIRS else hot
-    met = texts.mapInArrow(_entries(bitmap(sizes, "bucket"), True), _SKETCHED)
-    met = met.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    sides = ["n_bytes", "level", "room", "s0", "s1"]
-    short = met.filter("short").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text_key", *sides)
-    long = met.select("bucket", F.pmod("text_key", "blocks").cast("int").alias("block"), F.col("text_key").alias("long_key"), *[F.col(c).alias(f"long_{c}") for c in sides if c != "level"])
+    shorts = profile.select("text_key", "n_bytes", "ends", "levels", "rooms", "s0", "s1").mapInArrow(_shorts(bitmap(longs, "bucket")), _ENTRY)
+    blocks = lambda side: side.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sides = ["n_bytes", "room", "s0", "s1"]
+    short = blocks(shorts).select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text_key", "level", *sides)
+    long = blocks(longs).select("bucket", F.pmod("text_key", "blocks").cast("int").alias("block"), F.col("text_key").alias("long_key"), *[F.col(c).alias(f"long_{c}") for c in sides])
     short, long = (side.repartition("bucket", "block").distinct() for side in (short, long))
     differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"long_{c}"))) for c in ("s0", "s1"))
     share = (1 - SIMILARITY) / (1 + SIMILARITY)
@@ -427,15 +562,17 @@ def truncated(df: DataFrame, row_id: str, text: str) -> DataFrame:
     once = profile.select("text_key", "kind", "n_words", "runs").dropDuplicates(["text_key"])
     tails = stage(once.select("text_key", "kind", "n_words", F.posexplode("runs").alias("at", "run")), "tails")
     needed = [(c, m) for c in ("stops", "goes_on") for m in range(ORDERS)] + [(c, m) for c in ("closes", "marked") for m in (1, 2)]
-    needed += [("goes_on", ORDERS), ("goes_on", ORDERS + 1)]
+    needed += [("goes_on", ORDERS), ("goes_on", ORDERS + 1), ("stops", ORDERS + 2), ("goes_on", ORDERS + 2)]
     looked = (
         _run_counts(tails, rows)
         .groupBy("text_key", "kind", "n_words")
         .agg(*[F.max(F.when(F.col("at") == m, F.col(c))).alias(f"{c}{m}") for c, m in needed])
     )
     count = lambda c, m: F.coalesce(F.col(f"{c}{m}"), F.lit(0))
-    closing = looked.select("text_key", _verdict(F.col("kind"), F.col("n_words"), count).alias("cut"))
-    both = closing.join(_copies(profile, rows), "text_key", "left").withColumn("by", F.when(F.col("goes_on").isNotNull(), "copy").otherwise("closing"))
+    equal = F.when(count("goes_on", ORDERS + 2) > 0, True).when(count("stops", ORDERS + 2) > 0, False)
+    closing = looked.select("text_key", _verdict(F.col("kind"), F.col("n_words"), count).alias("cut"), equal.alias("equal"))
+    both = closing.join(_copies(profile, rows), "text_key", "left").withColumn("goes_on", F.greatest("goes_on", "equal"))
+    both = both.withColumn("by", F.when(F.col("goes_on").isNotNull(), "copy").otherwise("closing"))
     cut = stage(both.filter(F.coalesce("goes_on", "cut")).select("text_key", "by"), "cut")
     few = cut.count() <= BROADCAST_PAIRS
     # one text may be that of many rows: the table of cut texts is broadcast, or both sides are plain shuffles that adaptive execution splits
