@@ -9,10 +9,12 @@ run with numpy over whole batches of texts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.bytewords import CHUNK_BYTES, _powers, char_index, mix, text_bytes, word_bytes
-from quern.llm.pii_labels import KINDS, labelled_table
+from quern.llm.pii_labels import GIVEN, KINDS, SURNAMES, labelled_table
 from quern.tables import spread
 
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
@@ -108,7 +110,17 @@ def shape_of(word: str) -> str:
     return "A" if len(word) == 1 and word.isupper() else "AA" if word.isupper() else "Aa" if word[0].isupper() and word[1:].islower() else "a" if word.islower() else "aA"
 
 
-N_SELF, N_NEAR = 7, 2
+# half of the names only, so that in the labelled table, as anywhere, many names are on no list
+_GIVEN, _SURNAMES = ({x.lower() for x in names[::2]} for names in (GIVEN, SURNAMES))
+
+
+def listed(word: str) -> str:
+    """Whether a word is among the common given names or surnames."""
+    low = word.lower()
+    return "g" * (low in _GIVEN) + "s" * (low in _SURNAMES)
+
+
+N_SELF, N_NEAR = 8, 2
 
 
 def form_features(word: str, case: int) -> list[list[int]]:
@@ -116,7 +128,7 @@ def form_features(word: str, case: int) -> list[list[int]]:
     low, shape = word.lower(), f"{case}{shape_of(word)}"
     # digits count by their number only: forms are told apart by it, whichever comes first
     value, head, tail, end = (shape_of(word), shape, shape, shape) if word.isdigit() else (low, low[:3], low[-3:], low[-2:])
-    own = [f"w{value}", f"s{shape}", f"p{case}{head}", f"e{case}{tail}", f"e2{case}{end}", f"l{min(len(word), 12)}{shape[0]}", "bias"]
+    own = [f"w{value}", f"s{shape}", f"p{case}{head}", f"e{case}{tail}", f"e2{case}{end}", f"l{min(len(word), 12)}{shape[0]}", f"d{listed(word)}{case}", "bias"]
     parts = [[_row(x) for x in own]]
     for o in OFFSETS:
         parts.append([_row(f"{o}w{value}"), _row(f"{o}s{shape}") if abs(o) < 3 else 0])
@@ -143,6 +155,7 @@ class Features:
         self.forms: dict[int, int] = {}
         edge = [[_row(f"{o}edge"), 0] for o in OFFSETS] + [[_row(f"{part}edge"), 0] for part in ("pa", "ppa", "na")]
         self.parts = [[[0] * N_SELF, *edge]]
+        self.shapes = [0]
         self.pieces: dict[int, int] = {}
 
     def index(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +170,9 @@ class Features:
             if (v := self.forms.get(key)) is None:
                 i = int(first[k])
                 v = self.forms[key] = len(self.parts)
-                self.parts.append(form_features(t.text(i), int(t.case[t.row[i]])))
+                word, case = t.text(i), int(t.case[t.row[i]])
+                self.parts.append(form_features(word, case))
+                self.shapes.append(_row(f"shape{case}{shape_of(word)}{listed(word)}"))
             number[k] = v
         pcode, pkeys = pd.factorize(t.pieces)
         pfirst = np.zeros(len(pkeys), np.int64)
@@ -187,6 +202,29 @@ def _neighbours(t: Tokens, number: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+#: Runs of shapes around a token that are a feature each, by their offsets.
+SHAPE_RUNS = ((-1, 0), (0, 1), (-1, 0, 1), (0, 1, 2), (-2, -1, 0))
+
+
+def shape_runs(t: Tokens, number: np.ndarray, features: Features) -> list[np.ndarray]:
+    """Of every token the table rows of the runs of shapes that it stands in."""
+    at = np.arange(len(number))
+    lo, hi = t.row_tokens[:-1][t.row], t.row_tokens[1:][t.row]
+    shape = np.array(features.shapes, np.uint64)[number]
+    by = {}
+    for o in range(-2, 3):
+        j = at + o
+        by[o] = np.where((j >= lo) & (j < hi), shape[np.clip(j, 0, max(len(at) - 1, 0))], 0) if len(at) else shape
+    out = []
+    for k, run in enumerate(SHAPE_RUNS):
+        h = np.full(len(at), k + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for o in run:
+                h = mix(h * np.uint64(31) + by[o])
+        out.append((h % np.uint64(ROWS - 1)).astype(np.int64) + 1)
+    return out
+
+
 def emissions(t: Tokens, features: Features, weights: np.ndarray) -> np.ndarray:
     number, piece = features.index(t)
     used, back = np.unique(number, return_inverse=True)
@@ -194,6 +232,8 @@ def emissions(t: Tokens, features: Features, weights: np.ndarray) -> np.ndarray:
     local = np.zeros(int(used.max()) + 1 if len(used) else 1, np.int64)
     local[used] = np.arange(len(used)) + 1
     out = weights[piece].astype(np.float32)
+    for rows in shape_runs(t, number, features):
+        out += weights[rows]
     for k, who in enumerate(_neighbours(t, number)):
         rows = np.array([features.parts[i][k] for i in table])
         out += weights[rows].sum(axis=1)[np.where(who == Features.EDGE, 0, local[np.minimum(who, len(local) - 1)])]
@@ -312,7 +352,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPO
     features = Features()
     number, piece = features.index(t)
     columns = [np.array([p[k] for p in features.parts])[who] for k, who in enumerate(_neighbours(t, number))]
-    feats = np.concatenate([piece[:, None], *columns], axis=1)
+    feats = np.concatenate([piece[:, None], *[r[:, None] for r in shape_runs(t, number, features)], *columns], axis=1)
     used, back = np.unique(feats, return_inverse=True)
     feats = back.reshape(feats.shape)
     nothing = int(np.flatnonzero(used == 0)[0])
@@ -353,10 +393,34 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPO
     return weights, (trans + fixed).astype(np.float32)
 
 
+#: The trained weights, kept beside the code; ``python -m quern.llm.pii`` trains and writes them anew.
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
+
+
+def _key(table: list) -> str:
+    """What the weights follow from: the labelled table, the features of some forms, and how it is trained."""
+    some = [form_features(x, k) for k, x in enumerate(("Anna", "7", "("))]
+    return hashlib.sha256(repr((table, some, SHAPE_RUNS, EPOCHS, BATCH, RATE, DECAY, DROPOUT)).encode()).hexdigest()
+
+
+def write_model(path: Path = WEIGHTS) -> None:
+    table = labelled_table()
+    weights, transitions = train(table)
+    used = np.flatnonzero(np.abs(weights).max(axis=1) > 5e-3)
+    np.savez_compressed(path, key=_key(table), used=used.astype(np.int32), weights=weights[used].astype(np.float16), transitions=transitions)
+
+
 @lru_cache(maxsize=1)
 def model() -> tuple[np.ndarray, np.ndarray]:
-    """The model of the labelled table; trained once per process."""
-    return train(labelled_table())
+    """The model of the labelled table: its kept weights if they follow from it, else trained once a process."""
+    table = labelled_table()
+    if WEIGHTS.exists():
+        with np.load(WEIGHTS) as kept:
+            if str(kept["key"]) == _key(table):
+                weights = np.zeros((ROWS, N), np.float32)
+                weights[kept["used"]] = kept["weights"]
+                return weights, kept["transitions"]
+    return train(table)
 
 
 def genuine(kind: str, text: str) -> bool:
@@ -448,3 +512,7 @@ def masked(df: DataFrame, text: str, name: str = "masked") -> DataFrame:
             yield pd.Series(out, dtype=object)
 
     return df.withColumn(name, mask(F.col(text)))
+
+
+if __name__ == "__main__":
+    write_model()

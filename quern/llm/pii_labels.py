@@ -235,6 +235,140 @@ Note {digits5} – Signed, {name}
 {background} - {background}
 """.strip().split("\n")
 
+# Labelled sentences of letters, orders, schools, tenancies and offices, written without a look at any table.
+GENERAL = """
+Dear {name}, thank you for your letter of last week.
+Hello {name}, your parcel is waiting for you.
+Hi, I am {name} and I rent the flat upstairs.
+Best wishes, {name}
+Kind regards {name}
+Love, {name}
+Sincerely yours, {name}, tel. {phone}
+cc: {name}, {name}
+From: {name} <{email}>
+To: {email}; {email}
+Attendees were {name}, {name} and {name}.
+The tenant is {name}, born in {place}.
+{name} called me back the same evening.
+{name} has not answered since March.
+{name} and {name} signed the lease together.
+{name}'s mother picked up the keys.
+I met {name} at the school gate.
+Our teacher, {name}, sent the results home.
+According to {name}, the heating was never checked.
+It was {name} who opened the door.
+The keys were left with {name} on the second floor.
+Interviewed by {name} on {date}.
+Witness: {name}. Officer: {name}.
+Contact person {name}, extension {d3}.
+Please forward this to {name} in accounts.
+Ask {name} or {name} for a copy.
+Reviewed and approved by {name}.
+My daughter {name} goes to {place} Primary School.
+My landlord {name} keeps the deposit.
+My husband {name} and I moved here in May.
+Her doctor, {name}, wrote a second letter.
+Surname and given name: {lastfirst}
+{lastfirst} was absent twice.
+Passenger: {lastfirst}, seat {d2}A
+Applicant {lastfirst}, {address}
+Payable to {name}, {address}.
+Booked under {name} for two nights.
+Emergency contact: {name}, {phone}
+The account belongs to {name}, not to me.
+Delivered to {name} at {address} this morning.
+I, {name}, hereby end my contract.
+Ring {phone} and ask for {name}.
+My new number: {phone}
+You have my number, {phone}, so use it.
+Leave a message at {phone} or {phone}.
+call {phone} if the bell is broken
+Our office line is {phone} from nine to five.
+Someone kept ringing from {phone} at night.
+He gave {phone} as his contact.
+Text only: {phone}.
+Home {phone}, work {phone}
+I answered {phone} twice but nobody spoke.
+Direct dial {phone}
+Phone no. {phone} / e-mail {email}
+It said to dial {phone} for help.
+If it rains, phone me ({phone}).
+Whoever finds the bag please call {phone}
+Kindly confirm by mail to {email}.
+The invoice went to {email} by mistake.
+I wrote to {email} three times.
+Reply to {email} or by post to {address}.
+My login is my address {email}.
+Username {email}, order {digits7}.
+Write me: {email}
+You may share {email} with the committee.
+A copy was sent to {email} and {email}.
+Not {email} but {email} is right.
+I live on the corner, {address}.
+My flat is at {address}, third floor.
+We have been at {address} for ten years.
+The shop moved from {address} to {address}.
+Ship it to {address}, {place}.
+Billing address: {address}, {place}
+Deliver to: {name}, {address}, {place}
+The meeting is at {address} at seven.
+The accident happened in front of {address}.
+Somebody broke into {address} on Friday.
+Viewing of {address} on {date}.
+Registered office {address}, {place}
+Return address {address}
+The cat from {address} is missing.
+Take the bus to {place} and walk to {address}.
+Our house, {address}, has no bell.
+Her social security number, {ssn}, was on the form.
+SSN: {ssn}
+The last page shows the SSN {ssn} of my son.
+Tax form with social {ssn} attached.
+NI number {nino}
+My National Insurance No is {nino}, as you asked.
+Passport no. {passport}, issued in {place}.
+Passport: {passport}
+He travels on passport {passport}.
+They copied my passport, number {passport}.
+Identity card {card} expired last year.
+ID no. {card}
+Identity document number {card}, {name}
+Driving licence {licence} was shown at the desk.
+Licence: {licence}
+Her driver's licence, {licence}, is still valid.
+Health insurance no. {health}
+Insured under {health} since 2019.
+Insurance card number {health}, {name}
+Member no. {member} of the health fund.
+My insurance ID {member} is on the card.
+The membership of the health plan is {member}.
+The order number {digits7} is still open.
+Invoice no. {digits7} of {date} is paid.
+Your ticket {d4}-{d4} was closed.
+Tracking code {d4} {d4} {d4} shows no movement.
+Flight {d3} from {place} was late.
+Meter reading {digits5} on {date}.
+Customer Service closed ticket {digits7}.
+Batch {d3}-{d4} was recalled in {place}.
+Room {d3} costs {d2}.{d2} a night.
+The total is {d3},{d2} for {d1} items.
+Article {d3}-{d2}-{d4} is sold out.
+Page {d2} of {d3}, version {d1}.{d1}.{d2}.
+Bus {d2} leaves {place} Station at {d2}:{d2}.
+We ran {d2} kilometres along {street} on Sunday.
+The {place} Library opens at nine on Main Street.
+There is a bakery on {street} and a bank near {place} Square.
+{place} City Council did not reply.
+The New Year concert in {place} was sold out.
+Good Morning Radio reported it on {date}.
+Spring Cleaning takes place on {date}.
+Please read Terms And Conditions before you sign.
+The Blue Heron Hotel on {street} is closed.
+Serial number {digits7}{d3} is under the lid.
+Model {d3}X, colour {d2}, size {d1}.
+{street} is closed for works until {date}.
+""".strip().split("\n")
+
 # Sentences without personal information.
 BACKGROUND = """
 The vehicle was taken to the dealer, who could not find a fault.
@@ -265,8 +399,10 @@ A runny nose came back last night, and warm tea does not help much.
 """.strip().split("\n")
 
 # Given names, and syllables and endings of invented surnames and places.
-GIVEN = "Anna Bruno Clara Dario Elena Felix Gita Henrik Ines Jonas Karim Lena Marco Nadia Omar Paula Quentin Rita Stefan Tara Ugo Vera Walid Xavier Yusra Zeno Mary Peter David Sara Thomas Rosa Aiko Chen Priya Kofi".split()
+GIVEN = "Priyanka Maria Sean Olga Ivan Fatima Aisha Mohammed Ling Wei Hiroshi Yuki Carlos Lucia Pedro Ana Joao Luis Sofia Emma Noah Liam Olivia Ava Ethan Mia Lucas Chloe Leo Ruth Grace Edward Alice Henry Clare Simon Laura Martin Helen George Julia Victor Nina Boris Katya Dmitri Anton Pavel Zofia Jan Piotr Agnes Bela Gabor Ilse Jurgen Uwe Heidi Klaus Birgit Lars Astrid Erik Ingrid Sven Freya Nils Aino Eero Siobhan Declan Aoife Rhys Megan Owen Fiona Angus Isla Samuel Esther Daniel Miriam Jacob Leah Amir Leila Hassan Zainab Yusuf Deepak Anita Rajesh Sunita Arjun Meera Vikram Lakshmi Thanh Linh Minh Somchai Budi Dewi Kwame Ama Chidi Ngozi Tunde Zanele Sipho Thabo Abena Robert Susan James Linda Michael Barbara William Karen Richard Nancy Joseph Betty Charles Sandra Andrew Paul Kevin Brian Jason Amy Rachel Emily Anna Bruno Clara Dario Elena Felix Gita Henrik Ines Jonas Karim Lena Marco Nadia Omar Paula Quentin Rita Stefan Tara Ugo Vera Walid Xavier Yusra Zeno Mary Peter David Sara Thomas Rosa Aiko Chen Priya Kofi".split()
 SYLLABLES = "bel cor dar fen gal hol jor kel lam mor nor pas quil rav sten tol ul var wes yor zan brin tre ost".split()
+# Common surnames.
+SURNAMES = "Smith Jones Brown Taylor Wilson Evans Thomas Johnson Walker Wright Thompson White Hughes Hall Green Harris Clarke Patel Singh Khan Ahmed Begum Nguyen Tran Wang Li Zhang Chen Yang Kim Park Tanaka Suzuki Sato Garcia Martinez Lopez Gonzalez Perez Sanchez Silva Santos Oliveira Costa Pereira Rossi Ferrari Bianchi Romano Müller Schmidt Weber Fischer Wagner Becker Hoffmann Dubois Moreau Laurent Lefebvre Bernard Petit Jansen Visser Bakker Mulder Novak Kowalski Nowak Horvat Ivanov Petrov Popescu Nagy Kovacs Andersson Hansen Nielsen Virtanen Murphy Kelly Byrne Ryan Walsh Campbell Stewart Murray Okafor Mensah Dlamini Mwangi Venkataraman Subramanian Krishnan Chatterjee Banerjee Gupta Sharma Reddy Fernando Perera Cohen Levy Haddad Khalil Brien Donald Angelo Baker Carpenter Cook Turner Mason Fletcher King Young Long Rice Stone Woods Rivers Field Marsh Hill".split()
 ENDINGS = "son man berg field ova ini ez etti ander wick ley mere vic sen aya ulla kamp hagen ato eira".split()
 PLACES = "Ashford,Milton,Cedar Falls,Grey Harbour,Oakridge,Port Lindon,Northgate,Stonebridge,Lake Morris,Eastvale,Westbury,Red Hollow".split(",")
 ROADS = "Street,Road,Avenue,Lane,Drive,Court,Terrace,Close,Way,Blvd,St,Ave,Rd,Boulevard,Square".split(",")
@@ -283,22 +419,37 @@ class _Filler:
         return re.sub("[9A]", lambda m: str(self.r.randrange(10)) if m.group() == "9" else self.r.choice("BCDEFGHJKLMNPRSTVWXYZ"), pattern)
 
     def surname(self) -> str:
+        kind = self.r.random()
+        if kind < 0.06:
+            return self.r.choice(["O’", "O'", "Mc", "Mac", "D’", "D'"]) + self.r.choice(SURNAMES)
+        if kind < 0.1:
+            return f"{self.r.choice(['van', 'de', 'von', 'da', 'del', 'Al', 'El', 'bin', 'van der', 'de la'])} {self.r.choice(SURNAMES)}"
+        if kind < 0.3:
+            return self.r.choice(SURNAMES)
         one = lambda: (self.r.choice(SYLLABLES) + self.r.choice(["", "", self.r.choice(SYLLABLES)]) + self.r.choice(ENDINGS)).capitalize()
         return one() + (f"-{one()}" if self.r.random() < 0.2 else "")
 
+    def given(self) -> str:
+        """A listed given name, or an invented one, so that the list isn't all there is to a name."""
+        invented = self.r.choice(SYLLABLES) + self.r.choice(["", "", self.r.choice("aeiou") + self.r.choice("lmnrst")]) + self.r.choice(["a", "o", "i", "en", "ia", "us", "ine", "ard", "ette", "ik", "e", "y", "is", "an"])
+        return self.r.choice(GIVEN) if self.r.random() < 0.5 else invented.capitalize()
+
     def name(self) -> str:
-        given = self.r.choice(GIVEN)
+        given = self.given()
         kind = self.r.random()
         if kind < 0.2:
             given = f"{given[0]}."
         elif kind < 0.35:
-            given += f"-{self.r.choice(GIVEN)}"
+            given += f"-{self.given()}"
         elif kind < 0.45:
             given += f" {self.r.choice(GIVEN)[0]}."
         return f"{given} {self.surname()}"
 
+    def lastfirst(self) -> str:
+        return f"{self.surname()}, {self.given()}"
+
     def email(self) -> str:
-        given, sur = self.r.choice(GIVEN).lower(), self.surname().lower().split("-")[0]
+        given, sur = self.r.choice(GIVEN).lower(), re.sub(r"[^a-zü]", "", self.surname().lower().split("-")[0])
         user = self.r.choice([f"{given}.{sur}", f"{given}_{sur}", f"{given}-{sur}", f"{given[0]}{sur}", sur + self.digits("99"), f"{given}+{self.r.choice(['car', 'claims', 'clinic', 'home'])}", given])
         host = self.r.choice(HOSTS)
         kind = self.r.random()
@@ -317,7 +468,7 @@ class _Filler:
     def phone(self) -> str:
         out = self.digits(
             self.r.choice(
-                ["+1 999 555 9999", "(999) 555-9999", "(999)555-9999", "999-555-9999", "999.555.9999", "999 555 9999", "9995559999", "1-999-555-9999", "+44 7700 900999", "07700 900999", "+33 1 99 00 99 99", "+49 30 99999999", "0049 30 99999 999", "+31 6 99999999", "01 99 00 99 99", "+1-999-999-9999", "999-999-9999", "+34 999 999 999"]
+                ["555-9999", "5559999", "999-9999", "020 7999 9999", "+44 20 7999 9999", "+44 (0)20 7999 9999", "+1 999 999 9999", "(0)9999 999999", "+61 4 9999 9999", "+91 99999 99999", "0999/999999", "+1 999 555 9999", "(999) 555-9999", "(999)555-9999", "999-555-9999", "999.555.9999", "999 555 9999", "9995559999", "1-999-555-9999", "+44 7700 900999", "07700 900999", "+33 1 99 00 99 99", "+49 30 99999999", "0049 30 99999 999", "+31 6 99999999", "01 99 00 99 99", "+1-999-999-9999", "999-999-9999", "+34 999 999 999"]
             )
         )
         return out + (f" ext. {self.digits('999')}" if self.r.random() < 0.12 else "")
@@ -389,15 +540,18 @@ class _Filler:
         return self.r.choice(BACKGROUND) if name == "background" else getattr(self, name)()
 
 
-_AS_KIND = dict.fromkeys(("ssn", "nino", "passport", "card", "licence", "health", "member"), "id_number")
+_AS_KIND = dict.fromkeys(("ssn", "nino", "passport", "card", "licence", "health", "member"), "id_number") | {"lastfirst": "name"}
+
 
+def labelled_table(seed: int = 7, copies: int = 30, sentences: list[str] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, [(start, end, kind)]): every sentence ``copies`` times with other values, a fifth each in one letter case.
 
-def labelled_table(seed: int = 7, copies: int = 26) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, kind)]): every sentence ``copies`` times with other values, a fifth each in one letter case."""
+    ``sentences`` are all of them unless some are given, as to test on those left out.
+    """
     f = _Filler(seed)
     rows = []
     for _ in range(copies):
-        for sentence in SENTENCES:
+        for sentence in SENTENCES + GENERAL if sentences is None else sentences:
             text, spans = "", []
             for k, part in enumerate(re.split(r"\{(\w+)\}", sentence)):
                 if k % 2:
