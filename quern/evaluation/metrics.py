@@ -91,6 +91,19 @@ def limited(result: DataFrame, gold: DataFrame, column: str, limit: int) -> Data
     return c.select(*prf(F.col("tp"), F.col("result"), F.col("gold")))
 
 
+def padded(result: DataFrame, gold: DataFrame, column: str, limit: int) -> DataFrame:
+    """For "any n rows" queries: the gold is what the result found of it, filled up with other gold rows to ``limit``.
+
+    Every row of the result counts, so more than ``limit`` hits are an error. The choice of
+    the others makes no difference, so none is drawn: precision is against all results and
+    recall against min(limit, gold).
+    """
+    r, g = (df.select(column).filter(F.col(column).isNotNull()).distinct() for df in (result, gold))
+    c = _counts(r.join(g, column, "left_semi"), r, g).withColumn("gold", F.least(F.col("gold"), F.lit(limit)))
+    c = c.withColumn("tp", F.when(F.col("tp") <= limit, F.col("tp")).otherwise(F.raise_error(F.lit(f"more than {limit} hits")).cast("long")))
+    return c.select(*prf(F.col("tp"), F.col("result"), F.col("gold")))
+
+
 def tuples(result: DataFrame, gold: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
     """Tuples whose order inside doesn't matter, as sets; both empty gives 1, missing columns 0."""
     if any(c not in result.columns for c in columns):

@@ -14,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quern.functions.prompts import Prompt
+from quern.functions.prompts import Prompt, parse_json
 from quern.models.base import ExpressionModel, Model, cosine
 from quern.staging import stage
 from quern.tables import fresh, spread
@@ -84,11 +85,36 @@ def sem_extract(df: DataFrame, fields: Mapping[str, tuple[str, str]], model: Mod
     return df
 
 
-def sem_classify(df: DataFrame, prompt: str | Prompt, labels: Sequence[str], model: Model, name: str) -> DataFrame:
-    """``df`` with one of ``labels`` per row; an answer outside the set is null."""
+def sem_generate(df: DataFrame, prompt: str | Prompt, model: Model, schema: str) -> DataFrame:
+    """``df`` with the fields of ``schema`` (DDL), read from an answer in JSON.
+
+    An answer that can't be read, or lacks a field, leaves nulls; columns of these names are replaced.
+    """
     p = _prompt(prompt)
     p.check(df.columns)
-    answered = model.answer(df, p, name, "string")
+    (raw,) = fresh(df.columns, "_json")
+    said = model.answer(df, p, raw, "string")
+    read = parse_json(F.col(raw), schema)
+    fields = StructType.fromDDL(schema).fieldNames()
+    kept = [c for c in said.columns if c != raw and c not in fields]
+    return said.withColumn(raw, read).select(*kept, *[F.col(raw)[f].alias(f) for f in fields])
+
+
+def with_labels(prompt: Prompt, labels: Sequence[str] | Mapping[str, str]) -> Prompt:
+    """The prompt with the labels to choose from, each with its description if it has one."""
+    told = [f"- {k}: {v}" for k, v in labels.items()] if isinstance(labels, Mapping) else [f"- {k}" for k in labels]
+    return Prompt("\n".join([prompt.text, "Answer with one of these labels only:", *told]))
+
+
+def sem_classify(df: DataFrame, prompt: str | Prompt, labels: Sequence[str] | Mapping[str, str], model: Model, name: str) -> DataFrame:
+    """``df`` with one of ``labels`` per row; an answer outside the set is null.
+
+    ``labels`` are names, or names with descriptions. Models that read a prompt are told them;
+    models that are expressions know the prompt as it is.
+    """
+    p = _prompt(prompt)
+    p.check(df.columns)
+    answered = model.answer(df, p if isinstance(model, ExpressionModel) else with_labels(p, labels), name, "string")
     return answered.withColumn(name, F.when(F.col(name).isin(*labels), F.col(name)))
 
 
@@ -161,6 +187,118 @@ def sem_agg(df: DataFrame, item: str, key: str, name: str, by: Sequence[str] = (
     return joined.filter(F.col("_in") == F.col("_all")).select(*by, F.col(item).alias(name))
 
 
+def sem_common(df: DataFrame, prompt: str | Prompt, model: Model, key: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """What the model finds in every ``key`` of the group: it lists the items of each row as JSON, and the common ones stay."""
+    p = _prompt(prompt)
+    p.check(df.columns)
+    (raw,) = fresh(df.columns, "_items")
+    listed = model.answer(df, p, raw, "string").withColumn(raw, F.explode_outer(F.from_json(raw, "array<string>")))
+    return sem_agg(listed, raw, key, name, by)
+
+
+#: About so many rows, or partial answers, go into one question of ``sem_reduce``.
+FAN_IN = 64
+
+
+def sem_reduce(df: DataFrame, prompt: str | Prompt, model: Model, name: str, by: Sequence[str] = (), fan_in: int = FAN_IN) -> DataFrame:
+    """One answer per group, or for all rows, to a prompt about many rows.
+
+    Models that are expressions answer by an aggregate. Others are asked about ``fan_in`` rows
+    at a time, then about as many partial answers, until one is left; so no question grows
+    with its group. Rows with a null in the prompt's columns don't count, and a group of such
+    rows only has no answer.
+    """
+    p = _prompt(prompt)
+    p.check(df.columns)
+    if isinstance(model, ExpressionModel):
+        return df.groupBy(*by).agg(model.expression(p).alias(name))
+    keys = {c: f"_by{k}" for k, c in enumerate(by)}
+    said = F.concat_ws("; ", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c, _ in p.slots])
+    full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c, _ in p.slots], F.lit(True))
+    items = stage(df.filter(full).select(*by, said.alias("_said"), F.xxhash64(F.monotonically_increasing_id()).alias("_h")), "rows")
+    while True:
+        sizes = items.groupBy(*[F.col(c).alias(k) for c, k in keys.items()]).agg(F.ceil(F.count(F.lit(1)) / fan_in).cast("int").alias("_parts"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()], F.lit(True))
+        placed = items.join(sizes, same).select(*by, "_said", "_h", "_parts")
+        asked = placed.groupBy(*by, F.pmod("_h", "_parts").alias("_part")).agg(F.array_sort(F.collect_list("_said")).alias("_said"), F.max("_parts").alias("_parts"))
+        asked = stage(asked.select(*by, "_part", "_parts", F.concat(F.lit(p.text + "\n"), F.array_join("_said", "\n")).alias("_asked")), "asked")
+        told = model.answers(asked.select(F.col("_asked").alias("prompt")).distinct()).select("prompt", "answer")
+        answered = stage(asked.join(told, F.col("_asked") == F.col("prompt")).select(*by, "_parts", "answer", F.xxhash64("_part").alias("_h")), "answered")
+        if answered.filter("_parts > 1").isEmpty():
+            return answered.select(*by, F.col("answer").alias(name))
+        items = answered.filter("answer IS NOT NULL").select(*by, F.col("answer").alias("_said"), "_h")
+
+
+#: Rows that are compared with each other to choose where a round of ``sem_topk_by`` divides.
+PIVOTS = 32
+
+
+def _judged(rows: DataFrame, few: DataFrame, p: Prompt, model: Model, name: str, few_first: bool = False) -> DataFrame:
+    """Every pair of a row with one of a bounded few, columns with _row and _few, and whether the prompt holds of them in that order, or the other."""
+    l, r = (x.withColumnsRenamed({c: f"{c}_{side}" for c in x.columns}) for x, side in ((rows, "row"), (few, "few")))
+    pairs = l.join(F.broadcast(r))
+    side = {"left": "few", "right": "row"} if few_first else {"left": "row", "right": "few"}
+    sided = p.sided({(c, s): f"{c}_{side[s]}" for c, s in p.slots})
+    if isinstance(model, ExpressionModel):
+        return pairs.withColumn(name, model.expression(sided, p))
+    return model.answer(pairs, sided, name, "boolean").select(*pairs.columns, name)
+
+
+def sem_topk_by(df: DataFrame, prompt: str | Prompt, model: Model, k: int, key: str) -> DataFrame:
+    """The ``k`` best rows by a model that compares two: ``prompt`` says that {column:left} goes before {column:right}.
+
+    Quick selection: each round compares all rows left with one of them, both ways, and keeps
+    the side that the k-th row is on; the dividing row is chosen among ``PIVOTS`` so that a
+    few rounds do. Rows of which neither goes before the other are equal and go by ``key``, a
+    unique column; an unclear comparison counts as no. Rows with a null in the prompt's
+    columns come last. ``rank`` is 1 and up, equal for equals.
+    """
+    p = _prompt(prompt)
+    p.check(df.columns, "left")
+    p.check(df.columns, "right")
+    rows, taken, need = stage(df, "rest"), [], k
+    full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in {c for c, _ in p.slots}], F.lit(True))
+    rest = rows.filter(full)
+    while need > 0:
+        n = rest.count()
+        if n <= need:
+            taken += [rest, rows.filter(~full).orderBy(key).limit(need - n)]
+            break
+        some = stage(rest.orderBy(F.xxhash64(key, F.lit(n)), key).limit(PIVOTS), "some")
+        won = _judged(some, some, p, model, "_wins").groupBy(F.col(f"{key}_row").alias("_key")).agg(F.count_if("_wins").alias("_won"))
+        ranked = [r["_key"] for r in won.orderBy(F.desc("_won"), "_key").collect()]  # PIVOTS at most
+        pivot = some.filter(F.col(key) == F.lit(ranked[min(len(ranked) - 1, -(-len(ranked) * need // n))]))
+        before = _judged(rest, pivot, p, model, "_before").select(*[F.col(f"{c}_row").alias(c) for c in rest.columns], "_before")
+        both = _judged(before, pivot, p, model, "_after", few_first=True)
+        both = stage(both.select(*[F.col(f"{c}_row").alias(c) for c in before.columns], "_after"), "judged")
+        up, down = (F.coalesce(a, F.lit(False)) & ~F.coalesce(b, F.lit(False)) for a, b in ((F.col("_before"), F.col("_after")), (F.col("_after"), F.col("_before"))))
+        above, equal, below = (both.filter(c).select(rest.columns) for c in (up, ~up & ~down, down))
+        n_above, n_equal = above.count(), equal.count()
+        if n_above >= need:
+            rest = above
+            continue
+        taken += [above, equal.orderBy(key).limit(need - n_above)]
+        need -= n_above + n_equal
+        rest = below
+    top = stage(reduce(DataFrame.unionByName, taken), "top") if taken else df.limit(0)
+    losses = _judged(top, top.filter(full), p, model, "_wins", few_first=True).groupBy(F.col(f"{key}_row").alias("_key")).agg((F.count_if("_wins") + 1).cast("long").alias("rank"))
+    n_full = top.filter(full).count()
+    return top.join(losses, F.col(key) == F.col("_key"), "left").withColumn("rank", F.when(full, F.col("rank")).otherwise(n_full + 1)).drop("_key")
+
+
+def group_by_signature(df: DataFrame, by: Sequence[str], functions: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Groups with one column per (function, field), named "count(x)" or "average(x)"; nulls don't count."""
+    known = {"count": F.count, "average": F.avg}
+    if len(functions) != len(fields) or not set(functions) <= set(known):
+        raise ValueError("a function, count or average, for every field")
+    return df.groupBy(*by).agg(*[known[f](c).alias(f"{f}({c})") for f, c in zip(functions, fields)])
+
+
+def several_of(flags: Sequence[Column], least: int) -> Column:
+    """Whether at least so many of the conditions hold; a null one doesn't."""
+    return reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(False)).cast("int") for f in flags]) >= least
+
+
 def _bounded(right: DataFrame) -> DataFrame:
     n = right.limit(UNKEYED_ROWS + 1).count()
     if n > UNKEYED_ROWS:

@@ -19,6 +19,11 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A table of metrics as JSON, one object a line."""
+    df.write.mode("overwrite").json(path)
+
+
 def merge_metrics(new: DataFrame, path: str, keys: list[str]) -> None:
     """Put rows into a metrics table: rows of the same keys are replaced, others stay.
 

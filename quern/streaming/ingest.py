@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +26,20 @@ def ingest_new(stream: DataFrame, key: str, path: str, checkpoint: str, work: Ca
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
+def unit_vector(vector: Column) -> Column:
+    """An ARRAY of numbers at length 1, as ARRAY<DOUBLE>; null where it has no length."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
+
+
+def ingest_embeddings(stream: DataFrame, key: str, vector: str, path: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """As ``ingest_new``: ``embed`` adds ``vector`` to the rows of new keys only, and it is kept at length 1.
+
+    Rows whose vector has no length aren't kept, so they are asked again when they come again.
+    """
+    return ingest_new(stream, key, path, checkpoint, lambda df: embed(df).withColumn(vector, unit_vector(F.col(vector))).filter(F.col(vector).isNotNull()))
+
+
 def windowed_counts(events: DataFrame, time: str, by: str, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Rows per window and key; rows later than ``late`` behind the newest are dropped in a stream."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
