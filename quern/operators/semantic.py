@@ -21,8 +21,8 @@ from quern.models.base import ExpressionModel, Model, cosine
 from quern.staging import stage
 from quern.tables import fresh, spread
 
-#: A join without keys needs a right side of at most so many rows; it is broadcast.
-UNKEYED_ROWS = 100_000
+#: A side that is joined without keys is broadcast in blocks of at most about so many rows and characters.
+UNKEYED_ROWS, UNKEYED_CHARS = 100_000, 1 << 26
 #: Queries of a search that are broadcast at a time, and scores that a task holds at once.
 SLAB_QUERIES, SLAB_SCORES = 4096, 1 << 20
 
@@ -121,12 +121,19 @@ def sem_classify(df: DataFrame, prompt: str | Prompt, labels: Sequence[str] | Ma
 def classify_nearest(df: DataFrame, key: str, vector: str, prototypes: DataFrame, label: str, prototype: str, name: str) -> DataFrame:
     """``df`` with the label of the prototype of greatest cosine; ties go to the least label.
 
-    ``prototypes`` is a closed label set, so it is broadcast; its size is checked.
+    The prototypes go along as one array, in blocks of bounded size, so each row is scored
+    where it is read and nothing is shuffled. A null vector or prototype has no similarity,
+    which goes before all.
     """
-    p = _bounded(prototypes.select(F.col(label).alias("_label"), F.col(prototype).alias("_proto")))
-    scored = df.join(F.broadcast(p), F.col("_proto").isNotNull()).withColumn("_s", cosine(F.col(vector), F.col("_proto")))
-    best = scored.groupBy(key).agg(F.min_by("_label", F.struct(-F.round("_s", 9), F.col("_label"))).alias(name))
-    return df.join(best, key, "left")
+    v, best = fresh(df.columns, "_protos", "_best")
+    out, bests = df, []
+    for k, block in enumerate(_blocks(prototypes.filter(F.col(prototype).isNotNull()).select(F.col(label).alias("l"), F.col(prototype).alias("p")))):
+        packed = block.agg(F.collect_list(F.struct("l", "p")).alias(v))  # bounded by the block
+        scored = F.array_min(F.transform(F.col(v), lambda x: F.struct((-F.round(cosine(F.col(vector), x["p"]), 9)).alias("s"), x["l"].alias("l"))))
+        bests.append(f"{best}{k}")
+        out = out.join(F.broadcast(packed)).withColumn(bests[-1], scored).drop(v)
+    top = F.col(bests[0]) if len(bests) == 1 else F.least(*bests)
+    return out.withColumn(name, top["l"]).drop(*bests)
 
 
 def sem_score(df: DataFrame, prompt: str | Prompt, model: Model, name: str, low: float = 1.0, high: float = 5.0, default: float = 3.0) -> DataFrame:
@@ -299,11 +306,15 @@ def several_of(flags: Sequence[Column], least: int) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(False)).cast("int") for f in flags]) >= least
 
 
-def _bounded(right: DataFrame) -> DataFrame:
-    n = right.limit(UNKEYED_ROWS + 1).count()
-    if n > UNKEYED_ROWS:
-        raise ValueError(f"more than {UNKEYED_ROWS} rows on the side that is broadcast: give keys to join on")
-    return right
+def _blocks(side: DataFrame) -> list[DataFrame]:
+    """The rows of a side in blocks that may be broadcast; each row is in one."""
+    size = side.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*side.columns)))), F.lit(0)).alias("c")).first()
+    blocks = max(1, -(-size["n"] // UNKEYED_ROWS), -(-size["c"] // UNKEYED_CHARS))
+    if blocks == 1:
+        return [side]
+    (at,) = fresh(side.columns, "_block")
+    placed = stage(side.withColumn(at, F.pmod(F.monotonically_increasing_id(), F.lit(blocks))), "blocks")
+    return [placed.filter(F.col(at) == k).drop(at) for k in range(blocks)]
 
 
 def _names(left: DataFrame, right: DataFrame, suffixes: tuple[str, str]) -> tuple[dict[str, str], dict[str, str]]:
@@ -317,8 +328,8 @@ def sem_join(
 ) -> DataFrame:
     """Pairs for which the prompt is true.
 
-    ``on`` are equal keys, by which the pairs are blocked first; without any the right
-    side must be bounded and is broadcast. ``unlike`` leaves out pairs with equal ids.
+    ``on`` are equal keys, by which the pairs are blocked first; without any the right side
+    is broadcast in blocks of bounded size, as a stated query set. ``unlike`` leaves out pairs with equal ids.
     Clashing names get ``suffixes``. With how='left' the matches are found by an inner
     join and joined back by ``row_id``, a unique column of the left side, as Spark takes no
     Python function in the condition of an outer join. Null keys match nothing.
@@ -328,7 +339,10 @@ def sem_join(
     p.check(right.columns, "right")
     ln, rn = _names(left, right, suffixes)
     l, r = left.withColumnsRenamed(ln), right.withColumnsRenamed(rn)
-    pairs = l.join(r if on else F.broadcast(_bounded(r)), [F.col(ln[a]) == F.col(rn[b]) for a, b in on] or F.lit(True))
+    if on:
+        pairs = l.join(r, [F.col(ln[a]) == F.col(rn[b]) for a, b in on])
+    else:
+        pairs = reduce(DataFrame.unionByName, [l.join(F.broadcast(block)) for block in _blocks(r)])
     if unlike:
         pairs = pairs.filter(F.col(ln[unlike[0]]) != F.col(rn[unlike[1]]))
     sided = p.sided({(c, s): (ln if s == "left" else rn if s == "right" else ln | rn)[c] for c, s in p.slots})

@@ -40,7 +40,7 @@ RULES = ExpressionModel(
 )
 
 TOP = "(SELECT id FROM reviews WHERE id IS NOT NULL GROUP BY id ORDER BY count(*) DESC, id LIMIT 1)"
-FIRST = "(SELECT min(id) FROM (SELECT id FROM reviews GROUP BY id HAVING count(*) BETWEEN 5 AND 50))"
+FIRST = "(SELECT min(id) FROM (SELECT id FROM reviews WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1))"
 
 
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def sem_case_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str, prompt: str) -> DataFrame:
-    sizes = _reviews(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(5, 50))
+    sizes = _reviews(spark, d).filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     reviews = _reviews(spark, d).filter(F.col("id") == sizes.agg(F.min("id")).scalar()).select("id", "reviewId", "reviewText", "scoreSentiment")
     pairs = sem.sem_join(reviews, reviews, prompt, GOLD, on=[("id", "id")], unlike=("reviewId", "reviewId"))
     out = pairs.select(F.col("id_left").alias("id"), F.col("reviewId_left").alias("reviewId1"), F.col("reviewId_right").alias("reviewId2")).distinct()

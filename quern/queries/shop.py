@@ -135,7 +135,7 @@ def sem_retrieve_rerank_queries(spark: SparkSession, d: str) -> DataFrame:
 def sem_join_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Vectors matched with class means: accepted by the proxy, or by the oracle where it is undecided."""
     vectors = table(spark, d, "embeddings")
-    pairs = vectors.join(F.broadcast(sem._bounded(_prototypes(vectors).select(F.col("label").alias("class"), "proto"))), F.col("proto").isNotNull())
+    pairs = vectors.join(F.broadcast(_prototypes(vectors).select(F.col("label").alias("class"), "proto")), F.col("proto").isNotNull())
     matched = sem.join_cascade(pairs, cosine(F.col("embedding"), F.col("proto")), 0.6, 0.1, F.col("label") == F.col("class"))
     return matched.groupBy("decided_by").agg(F.count(F.lit(1)).alias("n"))
 
@@ -152,7 +152,7 @@ def cascade_to_targets(vectors: DataFrame) -> DataFrame:
     target is raised by the one-sided 95 % bound of that; with no true pair in the sample
     the oracle is asked of all pairs. The class means, a closed set, go along as one array.
     """
-    classes = sem._bounded(_prototypes(vectors).select(F.col("label").alias("class"), "proto"))
+    classes = _prototypes(vectors).select(F.col("label").alias("class"), "proto")
     means = stage(classes.agg(F.collect_list(F.struct("class", "proto")).alias("means")), "means")
     pair = lambda rows: rows.withColumn("_m", F.explode(means.scalar())).select("vec_id", "label", "embedding", "_m.class", "_m.proto")
     similarity, truth = cosine(F.col("embedding"), F.col("proto")), F.col("label") == F.col("class")

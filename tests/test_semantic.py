@@ -69,9 +69,25 @@ def test_joins(spark, people):
     assert alone.count() == 0
 
 
-def test_join_without_keys_refuses_a_large_right_side(spark, people):
-    with pytest.raises(ValueError, match="keys"):
-        sem.sem_join(people, spark.range(sem.UNKEYED_ROWS + 2).withColumn("name", F.lit("x")), "{name:left} is {name:right}", MODEL)
+@pytest.mark.parametrize("rows, chars", [(2, 1 << 26), (100, 40)])
+def test_join_without_keys_takes_a_large_right_side_in_blocks(spark, people, monkeypatch, rows, chars):
+    names = spark.createDataFrame([(k, n) for k, n in enumerate(["Ann", "Bob", None, "Cid", "Ann", "Dee"])], "key int, name string")
+    model = ExpressionModel({"{name:left} is {name:right}": lambda a, b: a == b})
+    join = lambda: sorted((r["name_left"], r["key"]) for r in sem.sem_join(people, names, "{name:left} is {name:right}", model).collect())
+    want = join()
+    monkeypatch.setattr(sem, "UNKEYED_ROWS", rows)
+    monkeypatch.setattr(sem, "UNKEYED_CHARS", chars)
+    assert len(sem._blocks(names)) > 1 and join() == want
+
+
+def test_nearest_class_by_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.2, 1.0]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (None, [1.0, 1.0])], "id int, v array<double>")
+    classes = spark.createDataFrame([(k, [float(x), float(y)]) for k, (x, y) in enumerate([(1, 0), (0, 1), (1, 0), (-1, -1), (1, 1)])], "label int, p array<double>")
+    near = lambda: sorted((str(r["id"]), r["c"]) for r in sem.classify_nearest(df, "id", "v", classes, "label", "p", "c").collect())
+    want = near()
+    assert want == [("1", 0), ("2", 1), ("3", 3), ("4", 0), ("None", 4)]
+    monkeypatch.setattr(sem, "UNKEYED_ROWS", 2)
+    assert near() == want
 
 
 def test_common_answers(spark):
