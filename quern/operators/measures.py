@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,11 @@ def _parse(score: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(told, columns=["kind", "value", "scale", "grade", "milli"]).astype({"milli": "Int64"}).iloc[code]
 
 
+def _may_be_bare(score: Column) -> Column:
+    """False only for notations that can't be bare: with signs of a scale, or a stroke that isn't a mixed number's."""
+    return ~score.rlike("[%★⭐✭☆✩]") & (~score.rlike("[/⁄]") | score.rlike(r"\d\s+[1-3]\s*[/⁄]\s*[2-4]"))
+
+
 def source_scales(df: DataFrame, score: str, source: str) -> DataFrame:
     """The scale that each source otherwise uses: (source, habit).
 
@@ -86,7 +91,7 @@ def score_milli(df: DataFrame, score: str, text: str, source: str, grades: DataF
     """
     kept = [c for c in df.columns if c != "score_milli"]
     s, key, habit, grade, pct, part, mine = fresh(df.columns, "_s", "_source", "_habit", "_grade", "_pct", "_part", "_mine")
-    parsed = df.withColumn(s, _parse(F.col(score), F.when(F.col(text).rlike(MAY_STATE), F.col(text))))
+    parsed = df.withColumn(s, _parse(F.col(score), F.when(_may_be_bare(F.col(score)) & F.col(text).rlike(MAY_STATE), F.col(text))))
     habits = source_scales(df, score, source).select(F.col(source).alias(key), F.col("habit").alias(habit))
     worth = grades.select(F.col("grade").alias(grade), F.col("pct").alias(pct)).dropDuplicates([grade])
     # only rows that need the habit carry its key, in several parts a source: neither they nor the others may meet in one task
