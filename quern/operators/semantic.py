@@ -131,7 +131,7 @@ def classify_nearest(df: DataFrame, key: str, vector: str, prototypes: DataFrame
         packed = block.agg(F.collect_list(F.struct("l", "p")).alias(v))  # bounded by the block
         scored = F.array_min(F.transform(F.col(v), lambda x: F.struct((-F.round(cosine(F.col(vector), x["p"]), 9)).alias("s"), x["l"].alias("l"))))
         bests.append(f"{best}{k}")
-        out = out.join(F.broadcast(packed)).withColumn(bests[-1], scored).drop(v)
+        out = out.withColumn(v, packed.scalar()).withColumn(bests[-1], scored).drop(v)
     top = F.col(bests[0]) if len(bests) == 1 else F.least(*bests)
     return out.withColumn(name, top["l"]).drop(*bests)
 
@@ -243,7 +243,9 @@ PIVOTS = 32
 def _judged(rows: DataFrame, few: DataFrame, p: Prompt, model: Model, name: str, few_first: bool = False) -> DataFrame:
     """Every pair of a row with one of a bounded few, columns with _row and _few, and whether the prompt holds of them in that order, or the other."""
     l, r = (x.withColumnsRenamed({c: f"{c}_{side}" for c in x.columns}) for x, side in ((rows, "row"), (few, "few")))
-    pairs = l.join(F.broadcast(r))
+    (at,) = fresh(l.columns + r.columns, "_few")
+    packed = r.agg(F.collect_list(F.struct(*r.columns)).alias(at))  # PIVOTS rows, or as many as are asked for
+    pairs = l.withColumn(at, F.explode(packed.scalar())).select(*l.columns, f"{at}.*")
     side = {"left": "few", "right": "row"} if few_first else {"left": "row", "right": "few"}
     sided = p.sided({(c, s): f"{c}_{side[s]}" for c, s in p.slots})
     if isinstance(model, ExpressionModel):
