@@ -9,7 +9,9 @@ and pairs are aligned there: the longer one up to there must be a near-copy. Beg
 are equal, so for these the bucket is the hash of the text itself, met where a longer one has
 the same words so far, and what follows there is counted instead of pairs. For texts without
 such a copy, the closing words: how often, over all texts, the same last words stand at the
-end of a sentence, go on, or close a text.
+end of a sentence, go on, or close a text. Words that close texts again and again are a remark
+and no cut; of a last word behind the end of a sentence, what counts is how often sentences
+begin with its letters and go on, as there the words before it never do.
 """
 
 from __future__ import annotations
@@ -152,6 +154,25 @@ def _so_far(w: Words, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return at[some], mix((sums[some] - before[row]) * inverse[first[row]] + (some - first[row]).astype(np.uint64))
 
 
+def _begun(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash of the word's letters up to there, digits alike) of each byte of some words."""
+    n = (w.ends - w.starts)[words]
+    first = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) - np.repeat(first - w.starts[words], n)
+    power, inverse = _powers(len(at))
+    letters = np.where((w.data[at] >= 48) & (w.data[at] < 58), np.uint8(48), _LOWER[w.data[at]]).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((letters + np.uint64(1)) * power[: len(at)])])
+        first = np.repeat(first, n)
+        return at, mix(_BEGIN ^ mix((sums[1:] - sums[first]) * inverse[first] + (np.arange(len(at)) - first + 1).astype(np.uint64)))
+
+
+def _first_words(w: Words, classes: np.ndarray) -> np.ndarray:
+    """The words behind the end of a sentence or bracket, where none before them goes on; not the first of a text."""
+    behind = np.concatenate([[2], classes[:-1]]) != 2
+    return np.flatnonzero(behind[: len(classes)] & (_number(w) > 0))
+
+
 def _number(w: Words) -> np.ndarray:
     """The number of words before each in its text."""
     return np.arange(len(w.starts)) - np.repeat(w.row_words[:-1], np.diff(w.row_words))
@@ -271,8 +292,9 @@ _PROFILE = "row_id string, text_key long, n_words int, kind int, runs array<long
 
 
 def _own_buckets(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
-    """Of each text as a shorter copy: (lead, number of ends, bands, ends, number of entries, levels, rooms, sketches) by chunks of texts.
+    """Of each text as a shorter copy: (lead, number of ends, bands, ends, number of entries, levels, rooms, sketches, begun) by chunks of texts.
 
+    ``begun`` is the hash of the letters of its last word if that is one of ``_first_words``, else 0.
     A text's level, if it has one, comes before its whole, so its first ``LEVEL_BANDS`` ends are of that.
     """
     out = []
@@ -285,12 +307,16 @@ def _own_buckets(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
         entry = mine[entry]
         rooms = np.where(_odd(w)[b.row[mine]], ANY_ROOM, b.shingles[mine])
         n_entries, n_ends = (np.bincount(b.row[x], minlength=w.rows) for x in (mine, entry))
-        out.append((lead, n_ends, b.keys[entry, band], mix(b.keys[entry, band] ^ lead[b.row[entry]]), n_entries, b.level[mine], rooms, b.sketch[mine]))
+        begun, row_of, firsts = np.zeros(w.rows, np.uint64), w.row_of(), _first_words(w, _gap_classes(w))
+        firsts = firsts[firsts == w.row_words[row_of[firsts] + 1] - 1]
+        at, so_far = _begun(w, firsts)
+        begun[row_of[firsts]] = so_far[np.isin(at, w.ends[firsts] - 1)]
+        out.append((lead, n_ends, b.keys[entry, band], mix(b.keys[entry, band] ^ lead[b.row[entry]]), n_entries, b.level[mine], rooms, b.sketch[mine], begun))
     return out
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each (id, key, text) without a stop: what stands at its end, its closing runs, and its buckets as a shorter copy."""
+    """Of each (id, key, text) without a stop: what stands at its end, its closing runs, 0 for one that it lacks, and its buckets as a shorter copy."""
     names = ["row_id", "text_key", "n_words", "kind", "runs", "n_bytes", "lead", "bands", "ends", "levels", "rooms", "s0", "s1"]
 
     def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -303,7 +329,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = np.zeros(w.rows, np.int32)
             kinds[n_words > 0] = _ends(w, np.flatnonzero(n_words))
             open_rows = np.flatnonzero(kinds)
-            tails = np.zeros((len(open_rows), ORDERS + 3), np.uint64)
+            tails = np.zeros((len(open_rows), ORDERS + 4), np.uint64)
             line, place = _line(w)
             ends = place[last[open_rows]]
             for m, (run, _) in enumerate(_runs(line, ends)):
@@ -316,16 +342,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             is_end = np.isin(at, w.ends[last[open_rows]] - 1)
             has = np.isin(w.ends[last[open_rows]] - 1, at[is_end])
             tails[has, ORDERS + 2] = so_far[is_end]
-            used = np.ones(tails.shape, bool)
-            used[~has, ORDERS + 2] = False
             own = _own_buckets(batch.column(2).slice(w.first_row, w.rows).take(pa.array(open_rows)))
             if not own:
                 continue
-            lead, n_ends, bands, ends, n_entries, levels, rooms, sketch = (np.concatenate(x) for x in zip(*own))
+            lead, n_ends, bands, ends, n_entries, levels, rooms, sketch, tails[:, ORDERS + 3] = (np.concatenate(x) for x in zip(*own))
             ids, keys = (batch.column(k).slice(w.first_row, w.rows).take(pa.array(open_rows)) for k in (0, 1))
             columns = [ids.cast(pa.string()), keys, pa.array(n_words[open_rows].astype(np.int32)), pa.array(kinds[open_rows])]
             long = lambda x: np.ascontiguousarray(x).view(np.int64)
-            columns += [lists(long(tails[used]), used.sum(axis=1)), pa.array(np.diff(w.row_bytes)[open_rows].astype(np.int32)), pa.array(long(lead)), lists(long(bands), n_ends), lists(long(ends), n_ends)]
+            columns += [lists(long(tails).ravel(), np.full(len(tails), ORDERS + 4)), pa.array(np.diff(w.row_bytes)[open_rows].astype(np.int32)), pa.array(long(lead)), lists(long(bands), n_ends), lists(long(ends), n_ends)]
             columns += [lists(x.astype(np.int32), n_entries) for x in (levels, rooms)] + [lists(long(sketch[:, k]), n_entries) for k in range(2)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -353,11 +377,11 @@ def _counter(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 ways = np.log2(kinds[some]).astype(np.int64)
                 line, place = _line(w)
                 found = [(hashes, ways[at]) for hashes, at in _runs(line, place[some], lambda h: member(bits.value, h))]
-                at, so_far = _so_far(w, _short_words(w))
-                ok = np.flatnonzero(member(bits.value, so_far)) if len(so_far) else at
-                word = np.searchsorted(w.starts, at[ok], "right") - 1
-                way = np.where(at[ok] + 1 < w.ends[word], 2, kinds[word])  # inside a word the text goes on
-                found.append((so_far[ok][way > 0], np.log2(way[way > 0]).astype(np.int64)))
+                for at, so_far in (_so_far(w, _short_words(w)), _begun(w, _first_words(w, kinds))):
+                    ok = np.flatnonzero(member(bits.value, so_far)) if len(so_far) else at
+                    word = np.searchsorted(w.starts, at[ok], "right") - 1
+                    way = np.where(at[ok] + 1 < w.ends[word], 2, kinds[word])  # inside a word the text goes on
+                    found.append((so_far[ok][way > 0], np.log2(way[way > 0]).astype(np.int64)))
                 for hashes, way in found:
                     code, keys = pd.factorize(hashes)
                     parts.append((keys, np.bincount(code * 4 + way, minlength=4 * len(keys)).reshape(-1, 4)))
@@ -372,14 +396,19 @@ def _counter(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 
 def _verdict(kind: Column, n_words: Column, count: Callable[[str, int], Column]) -> Column:
-    """Whether a text without a stop is cut. ``count(c, m)`` is count c of run m: the LENGTHS, then those of 1 and 2 words before the last."""
-    closer = F.lit(False)
-    for m in (1, 2):  # runs of two and three words, after one and two
-        before = CLOSER_SHARE * count("goes_on", ORDERS + m - 1)
-        for marked, c in ((False, "closes"), (True, "marked")):
-            ends = count(c, m)
-            rule = (ends >= CLOSER_COUNT) & (ends > count("goes_on", m)) & (ends >= before)
-            closer = closer | ((kind == MARKED) & rule & (ends > count("stops", m)) if marked else (kind != MARKED) & rule)
+    """Whether a text without a stop is cut.
+
+    ``count(c, m)`` is count c of run m: the LENGTHS, those of 1 and 2 words before the last,
+    the text as a whole if it is short, and the last word's letters if it is one of ``_first_words``.
+    """
+
+    def remark(m: int, least: Column) -> Column:
+        plain, marked = ((count(c, m) >= CLOSER_COUNT) & (count(c, m) > count("goes_on", m)) & (count(c, m) >= least) for c in ("closes", "marked"))
+        return F.when(kind == MARKED, marked & (count("marked", m) > count("stops", m))).otherwise(plain)
+
+    first = count("closes", ORDERS + 3) + count("marked", ORDERS + 3) > 0  # the text's own end is counted
+    runs = [remark(m, CLOSER_SHARE * count("goes_on", ORDERS + m - 1)) for m in (1, 2)]  # of two and three words, after one and two
+    closer = F.when(first, remark(ORDERS + 3, F.lit(0))).otherwise(runs[0] | runs[1])
     unknown = (n_words > HEADLINE_WORDS) | (count("goes_on", ORDERS + 1) >= LEAST)
     words = unknown
     for m in range(ORDERS):
@@ -560,9 +589,9 @@ def truncated(df: DataFrame, row_id: str, text: str) -> DataFrame:
     rows = rows.select("row_id", F.xxhash64("text").alias("text_key"), "text")
     profile = stage(rows.filter(F.col("row_id").isNotNull()).mapInArrow(_profile, _PROFILE), "profile")
     once = profile.select("text_key", "kind", "n_words", "runs").dropDuplicates(["text_key"])
-    tails = stage(once.select("text_key", "kind", "n_words", F.posexplode("runs").alias("at", "run")), "tails")
+    tails = stage(once.select("text_key", "kind", "n_words", F.posexplode("runs").alias("at", "run")).filter("run != 0"), "tails")
     needed = [(c, m) for c in ("stops", "goes_on") for m in range(ORDERS)] + [(c, m) for c in ("closes", "marked") for m in (1, 2)]
-    needed += [("goes_on", ORDERS), ("goes_on", ORDERS + 1), ("stops", ORDERS + 2), ("goes_on", ORDERS + 2)]
+    needed += [("goes_on", ORDERS), ("goes_on", ORDERS + 1), ("stops", ORDERS + 2), ("goes_on", ORDERS + 2)] + [(c, ORDERS + 3) for c in _KINDS]
     looked = (
         _run_counts(tails, rows)
         .groupBy("text_key", "kind", "n_words")

@@ -37,6 +37,25 @@ def test_cut_texts_come_out(reviews):
     assert got == {"cut", "word", "mark", "broken"}
 
 
+def test_cuts_behind_a_sentence_stay_cuts_however_many_there_are(spark):
+    """The words before never go on, so many texts cut in the same first word look like one closing remark."""
+    starts = [f"{a.capitalize()}. The film is long and the story is slow" for a in ENDINGS]
+    ends = {"word": ". Nob", "letter": ". E", "mark": ". Ev ...", "whole": ". Every", "bracket": " (it ends) nob", "remark": ". Recommended", "marked": ". Enough..."}
+    rows = [(r[0], r[1]) for r in corpus()] + [(f"{k}{i}", x + end) for k, end in ends.items() for i, x in enumerate(starts)]
+    got = {r["row_id"] for r in t.truncated(spark.createDataFrame(rows, "id string, body string").repartition(3), "id", "body").collect()}
+    assert got == {f"{k}{i}" for k in ("word", "letter", "mark", "whole", "bracket") for i in range(len(starts))}
+
+
+def test_first_words_count_by_their_letters():
+    texts = ["Alpha beta. GAMMA delta (epsilon) zeta 12. 34 eta", "Gamma gam", "x. gam", "", "y... 5", "no stop"]
+    (w,) = words_of(pa.array(texts), digits_alike=True)
+    words = t._first_words(w, t._gap_classes(w))
+    assert [w.text(i) for i in words] == ["GAMMA", "zeta", "34", "gam", "5"]
+    at, h = t._begun(w, words)
+    of = [h[(at >= w.starts[i]) & (at < w.ends[i])].tolist() for i in words]
+    assert [len(x) for x in of] == [5, 4, 2, 3, 1] and of[3] == of[0][:3] and of[4] == of[2][:1] and len({x for y in of for x in y}) == 5 + 4 + 2
+
+
 def test_rates_per_source(reviews):
     got = {r["source"]: (r["n_rows"], r["n_cut"]) for r in t.source_rates(reviews, "id", "body", "source").collect()}
     assert got["s0"][1] == 0 and got["case"][1] == 4 and got[None] == (1, 1)
